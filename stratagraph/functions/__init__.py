@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Column functions: full text, paths, JSON."""

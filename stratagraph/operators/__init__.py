@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Query operators over nodes, edges, texts, files, commits and memory."""

@@ -1,4 +1,7 @@
 """QUERIES and ORACLES of all operators outside the pipeline subpackage."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import build, graph, history, text
+
+PARTS = (history, graph, text, build)
+QUERIES: dict = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in PARTS for k, v in part.ORACLES.items()}

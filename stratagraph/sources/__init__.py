@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Where relations come from: standard tables, file trees, change histories, snapshots."""
