@@ -76,7 +76,7 @@ def churn_hotspots(commits: DataFrame, commit_files: DataFrame, files: DataFrame
 def ownership(commits: DataFrame, commit_files: DataFrame, path: str | None = None, limit: int = 10) -> DataFrame:
     """Authors by commits; the share is of all distinct matching commits, not of the rows shown."""
     rows = commit_files if path is None else commit_files.filter(F.col("path") == path)
-    rows = rows.join(commits, "sha")
+    rows = rows.join(commits.select("sha", "author_name", "author_email", "committed_at"), "sha")
     total = rows.agg(F.countDistinct("sha").alias("total"))
     out = rows.groupBy("author_name", "author_email").agg(F.countDistinct("sha").alias("commits"), F.sum(F.coalesce("additions", F.lit(0))).alias("additions"), F.sum(F.coalesce("deletions", F.lit(0))).alias("deletions"), F.min("committed_at").alias("first_commit"), F.max("committed_at").alias("last_commit"))
     out = out.orderBy(F.desc("commits"), "author_email").limit(limit)

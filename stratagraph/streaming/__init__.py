@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Continuous builds: a stream of files parsed as they arrive."""
