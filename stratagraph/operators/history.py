@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 MAX_FILES = 50
 MIN_SUPPORT = 2
 SHAS_KEPT = 20
@@ -94,7 +96,7 @@ def rename_targets(renames: DataFrame, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         step = now.select(F.col("old").alias("current"), F.col("current").alias("further"))
         after = now.join(step, "current", "left").select("old", F.coalesce(F.when(F.col("further") != F.col("old"), F.col("further")), F.col("current")).alias("current"))
-        after = after.checkpoint() if after.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after
+        after = cut(after)
         if after.exceptAll(now).isEmpty():
             return after
         now = after
