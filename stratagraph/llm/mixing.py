@@ -71,6 +71,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, mo
     carry = [c for c in (carry or docs.columns) if c not in own]
     spark = docs.sparkSession
     rows = docs.select(*carry, word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("_source"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_turn"))
+    if text not in carry:  # narrow rows: words are counted once and not again for sums, bounds and the sort
+        rows = cut(rows)
     aims = source_table(rows.select("_source", "size"), weights, most)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     order = [F.col("_source").asc_nulls_last(), F.col("size"), F.col("_turn")]
