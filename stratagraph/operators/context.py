@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import joined
 from .intervals import innermost
+from .parse import parse_files, relations
 from .traverse import impact, merged_impact
 
 
@@ -32,3 +33,8 @@ def historical_path_docs(references: DataFrame, old_paths: DataFrame, sections:
 def aggregate_impacts(changed: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     """Impacts of all changed nodes (root, id), followed together and merged by node."""
     return merged_impact(impact(changed, edges, depth))
+
+
+def deleted_nodes(old_files: DataFrame) -> DataFrame:
+    """Nodes that deleted files had: old_files(path, content) as they were, parsed again."""
+    return relations(parse_files(old_files))["nodes"]

@@ -92,6 +92,15 @@ def accuracy(actual: DataFrame, expected: DataFrame, forbidden: DataFrame, key:
     return out.select("expected", "forbidden", "true_positives", (n - t).alias("false_negatives"), "false_positives", F.round(F.when(t + p > 0, t / (t + p)).otherwise(1.0), 6).alias("precision"), F.round(F.when(n > 0, t / n).otherwise(1.0), 6).alias("recall"), ((n == t) & (p == 0)).alias("passed"))
 
 
+def accuracy_by_entry(actual: DataFrame, expected: DataFrame, forbidden: DataFrame, entry: str = "entry", key: str = "fact") -> DataFrame:
+    """accuracy() for each corpus entry (a column of all three): one pass over the labelled facts."""
+    facts = actual.select(entry, key).distinct().withColumn("_in", F.lit(1))
+    marks = expected.select(entry, key, F.lit(True).alias("want")).unionByName(forbidden.select(entry, key, F.lit(False).alias("want"))).distinct()
+    t, n, p = F.col("true_positives"), F.col("expected"), F.col("false_positives")
+    out = marks.join(facts, [entry, key], "left").groupBy(entry).agg(F.count_if("want").alias("expected"), F.count_if(~F.col("want")).alias("forbidden"), F.count_if(F.col("want") & F.col("_in").isNotNull()).alias("true_positives"), F.count_if(~F.col("want") & F.col("_in").isNotNull()).alias("false_positives"))
+    return out.select("*", (n - t).alias("false_negatives"), F.round(F.when(t + p > 0, t / (t + p)).otherwise(1.0), 6).alias("precision"), F.round(F.when(n > 0, t / n).otherwise(1.0), 6).alias("recall"), ((n == t) & (p == 0)).alias("passed"))
+
+
 def structural_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.filter("type <> 'CO_CHANGED_WITH'").agg(F.count("*").alias("edges")))
 

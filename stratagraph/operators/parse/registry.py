@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import config, generic, markdown, python_code, routes
+from . import config, generic, light, markdown, python_code, routes
 from .model import Parsed
 
 _DOTENV = re.compile(r"(^|/)\.env(\.[\w-]+)?$|\.env$")
@@ -27,6 +27,7 @@ PARSERS: list[tuple[str, Callable[[str], bool], Callable[[str, str], Parsed]]] =
     ("yaml", lambda p: p.lower().endswith((".yaml", ".yml")), config.parse_yaml),
     ("dockerfile", lambda p: bool(_DOCKER.search(p)), config.parse_dockerfile),
     ("python", lambda p: p.lower().endswith(".py"), python_code.parse),
+    ("light", lambda p: posixpath.splitext(p)[1].lower() in light.LANGUAGES, light.parse),
     ("routes", lambda p: p.lower().endswith((".py", ".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx")), routes.parse_routes),
     ("cli", lambda p: p.lower().endswith(".py"), routes.parse_cli),
 ]

@@ -327,6 +327,17 @@ def precision_recall(spark, sf_dir):
     return overview.accuracy(actual, labels.filter("quality = 1"), labels.filter("quality = 0"), "doc_id")
 
 
+@query(""", m AS (SELECT l.doc_id, d.source, quality FROM labels l JOIN documents d USING (doc_id)), a AS (SELECT source, doc_id FROM documents WHERE n_chars>300)
+SELECT source, count(*) FILTER (quality=1)::BIGINT AS expected, count(*) FILTER (quality=0)::BIGINT AS forbidden, count(*) FILTER (quality=1 AND a.doc_id IS NOT NULL)::BIGINT AS true_positives, count(*) FILTER (quality=0 AND a.doc_id IS NOT NULL)::BIGINT AS false_positives,
+count(*) FILTER (quality=1 AND a.doc_id IS NULL)::BIGINT AS false_negatives, round(CASE WHEN count(a.doc_id)>0 THEN count(*) FILTER (quality=1 AND a.doc_id IS NOT NULL)/count(a.doc_id)::DOUBLE ELSE 1 END,6) AS "precision",
+round(CASE WHEN count(*) FILTER (quality=1)>0 THEN count(*) FILTER (quality=1 AND a.doc_id IS NOT NULL)/(count(*) FILTER (quality=1))::DOUBLE ELSE 1 END,6) AS recall, count(*) FILTER (quality=1 AND a.doc_id IS NULL)=0 AND count(*) FILTER (quality=0 AND a.doc_id IS NOT NULL)=0 AS passed
+FROM m LEFT JOIN a USING (source, doc_id) GROUP BY source""")
+def accuracy_by_source(spark, sf_dir):
+    docs = bridge.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    labels = bridge.table(spark, sf_dir, "labels").join(docs.select("doc_id", "source"), "doc_id")
+    return overview.accuracy_by_entry(docs.filter("n_chars > 300"), labels.filter("quality = 1"), labels.filter("quality = 0"), "source", "doc_id")
+
+
 @query(""", i AS (SELECT id, type||':'||coalesce(nullif(qualified_name,''),name)||'@'||coalesce(path,'') AS k FROM nodes) SELECT DISTINCT 'node|'||k AS fact FROM i UNION SELECT concat_ws('|','edge',e.type,s.k,t.k,e.path) FROM edges e JOIN i s ON s.id=e.source_node_id JOIN i t ON t.id=e.target_node_id""")
 def fact_keys(spark, sf_dir):
     return overview.fact_keys(bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir))
