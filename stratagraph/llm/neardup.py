@@ -238,7 +238,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     more = cut(joined_blocks(members.select("bucket", "id"), labels, sets, percent, block))
     over = components(more).select(F.col("node").alias("component"), F.col("component").alias("final"))
     # components are named by their smallest class, so that joining names joins components
-    labels = labels.join(over, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("final", "component").alias("component"))
+    over = cut(over)
+    lone = over.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
+    labels = labels.join(F.broadcast(over) if over.count() <= BROADCAST_IDS else over, "component", "left").select("node", F.coalesce("final", "component").alias("component")).unionByName(lone)
     named = classes.select("h1", "h2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("bands").join(named, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
