@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and all runs on one machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratagraph-"))
         current = context._jsc.sc().getCheckpointDir()
     return named or current.get()
