@@ -58,11 +58,11 @@ def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
 def source_table(rows: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """source, source_size, target: one row a source, from partial sums."""
     spark = rows.sparkSession
-    found = rows.groupBy("_source").agg(F.sum("size").alias("source_size")).collect()
-    found.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-32-be")))
+    found = rows.groupBy("__mix_source").agg(F.sum("size").alias("source_size")).collect()
+    found.sort(key=lambda r: (r["__mix_source"] is None, (r["__mix_source"] or "").encode("utf-32-be")))
     sizes = [int(r["source_size"]) for r in found]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
-    return spark.createDataFrame([(r["_source"], n, t) for r, n, t in zip(found, sizes, aims, strict=True)], "_source string, source_size bigint, target double")
+    return spark.createDataFrame([(r["__mix_source"], n, t) for r, n, t in zip(found, sizes, aims, strict=True)], "__mix_source string, source_size bigint, target double")
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -70,46 +70,46 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, mo
     own = {"size", "source_size", "target", "copies"}
     carry = [c for c in (carry or docs.columns) if c not in own]
     spark = docs.sparkSession
-    rows = docs.select(*carry, word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("_source"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_turn"))
+    rows = docs.select(*carry, word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("__mix_source"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("__mix_turn"))
     if text not in carry:  # narrow rows: words are counted once and not again for sums, bounds and the sort
         rows = cut(rows)
-    aims = source_table(rows.select("_source", "size"), weights, most)
+    aims = source_table(rows.select("__mix_source", "size"), weights, most)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    order = [F.col("_source").asc_nulls_last(), F.col("size"), F.col("_turn")]
+    order = [F.col("__mix_source").asc_nulls_last(), F.col("size"), F.col("__mix_turn")]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = cut(rows.withColumn("_at", F.monotonically_increasing_id()))
+    rows = cut(rows.withColumn("__mix_at", F.monotonically_increasing_id()))
     # partition and row within it are the halves of the id
-    rows = rows.withColumn("_part", F.shiftrightunsigned("_at", 33))
-    spans = rows.groupBy("_source", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    rows = rows.withColumn("__mix_part", F.shiftrightunsigned("__mix_at", 33))
+    spans = rows.groupBy("__mix_source", "__mix_part").agg(F.min("__mix_at").alias("__mix_first"), F.count("*").alias("__mix_rows"))
     from pyspark.sql import Window
 
-    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.withColumn("_before", before).drop("_rows")
+    before = F.coalesce(F.sum("__mix_rows").over(Window.partitionBy("__mix_source").orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("__mix_before", before).drop("__mix_rows")
     aims_count = aims.count()
     aims = F.broadcast(aims) if aims_count <= BROADCAST_SOURCES else aims
-    spans = spans.join(aims, spans["_source"].eqNullSafe(aims["_source"])).drop(aims["_source"])
+    spans = spans.join(aims, spans["__mix_source"].eqNullSafe(aims["__mix_source"])).drop(aims["__mix_source"])
     few = spans.count() <= BROADCAST_SOURCES
-    spans = spans.withColumnsRenamed({"_source": "_source2", "_part": "_part2"})
-    rows = rows.join(F.broadcast(spans) if few else spans, (F.col("_part") == F.col("_part2")) & F.col("_source").eqNullSafe(F.col("_source2")))
-    rank = (F.col("_before") + F.col("_at") - F.col("_first")).cast("double")
+    spans = spans.withColumnsRenamed({"__mix_source": "__mix_source2", "__mix_part": "__mix_part2"})
+    rows = rows.join(F.broadcast(spans) if few else spans, (F.col("__mix_part") == F.col("__mix_part2")) & F.col("__mix_source").eqNullSafe(F.col("__mix_source2")))
+    rank = (F.col("__mix_before") + F.col("__mix_at") - F.col("__mix_first")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(1.0))
-    first = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("_source", F.lit("\0null"))), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
-    rows = rows.withColumns({"_rank": rank, "_rate": rate, "_draw": first})
+    first = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("__mix_source", F.lit("\0null"))), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+    rows = rows.withColumns({"__mix_rank": rank, "__mix_rate": rate, "__mix_draw": first})
 
     def copies(offset: Column) -> Column:
-        crossed = F.floor(offset + (F.col("_rank") + 1) * F.col("_rate")) - F.floor(offset + F.col("_rank") * F.col("_rate"))
+        crossed = F.floor(offset + (F.col("__mix_rank") + 1) * F.col("__mix_rate")) - F.floor(offset + F.col("__mix_rank") * F.col("__mix_rate"))
         return F.least(crossed, F.lit(int(np.ceil(most)))).cast("bigint")
 
-    draws = [F.pmod(F.col("_draw") + F.lit(k / OFFSETS), F.lit(1.0)) for k in range(OFFSETS)]
-    words = rows.groupBy("_source").agg(F.first("target").alias("target"), *[F.sum(copies(d) * F.col("size")).alias(f"w{k}") for k, d in enumerate(draws)])
+    draws = [F.pmod(F.col("__mix_draw") + F.lit(k / OFFSETS), F.lit(1.0)) for k in range(OFFSETS)]
+    words = rows.groupBy("__mix_source").agg(F.first("target").alias("target"), *[F.sum(copies(d) * F.col("size")).alias(f"w{k}") for k, d in enumerate(draws)])
     misses = [F.struct(F.abs(F.col(f"w{k}") - F.col("target")), F.lit(k).alias("k")) for k in range(OFFSETS)]
-    best = words.select(F.col("_source").alias("_source3"), F.least(*misses)["k"].alias("_k"))
+    best = words.select(F.col("__mix_source").alias("__mix_source3"), F.least(*misses)["k"].alias("__mix_k"))
     best = F.broadcast(cut(best)) if aims_count <= BROADCAST_SOURCES else best
-    rows = rows.join(best, F.col("_source").eqNullSafe(F.col("_source3")))
-    offset = F.pmod(F.col("_draw") + F.col("_k") / F.lit(float(OFFSETS)), F.lit(1.0))
+    rows = rows.join(best, F.col("__mix_source").eqNullSafe(F.col("__mix_source3")))
+    offset = F.pmod(F.col("__mix_draw") + F.col("__mix_k") / F.lit(float(OFFSETS)), F.lit(1.0))
     return rows.withColumn("copies", copies(offset)).select(*carry, "size", "source_size", "target", "copies")
 
 
 def emitted(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as many times as it has copies."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*columns)
+    return mixed.filter("copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*columns)

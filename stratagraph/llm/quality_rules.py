@@ -24,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 OTHERS = SYMBOLS + ".,;:!?-'\"()[]{}/\\@_=+~^`"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
+#: Columns that judged() makes; columns of these names aren't carried.
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 #: Prior votes: an accuracy starts at, and is drawn to, PRIOR[0] with the weight of PRIOR[1] of all votes.
 PRIOR = (0.95, 0.25)
 START_GOOD = 0.8
@@ -52,45 +54,45 @@ def repeated_words(hashes: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns and the counts that base rules and votes need."""
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in OWN]
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*carry, value.alias("_text"))
-    words = F.array_remove(F.split(F.translate("_text", SPACE[1:], " " * (len(SPACE) - 1)), " "), "")
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    rows = rows.select(*carry, "_text", words.alias("_words"), lines.alias("_lines"))
-    n = F.size("_words")
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    rows = docs.select(*carry, value.alias("__rule_text"))
+    words = F.array_remove(F.split(F.translate("__rule_text", SPACE[1:], " " * (len(SPACE) - 1)), " "), "")
+    lines = F.filter(F.split("__rule_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    rows = rows.select(*carry, "__rule_text", words.alias("__rule_words"), lines.alias("__rule_lines"))
+    n = F.size("__rule_words")
+    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("__rule_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
 
     def count(chars: str) -> Column:
-        return (F.length("_text") - F.length(F.translate("_text", chars, ""))).cast("bigint")
+        return (F.length("__rule_text") - F.length(F.translate("__rule_text", chars, ""))).cast("bigint")
 
     rows = rows.select(
         *carry,
         n.cast("bigint").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        F.length(F.array_join("__rule_words", "")).cast("bigint").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.size("_lines").cast("bigint").alias("_n_lines"),
-        F.size(F.array_distinct("_words")).cast("bigint").alias("_distinct"),
-        count("!?").alias("_marks"),
-        count(OTHERS).alias("_others"),
-        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("_upper"),
-        hashes.alias("_hashes"),
+        (F.size("__rule_lines") - F.size(F.array_distinct("__rule_lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size("__rule_lines").cast("bigint").alias("__rule_n_lines"),
+        F.size(F.array_distinct("__rule_words")).cast("bigint").alias("__rule_distinct"),
+        count("!?").alias("__rule_marks"),
+        count(OTHERS).alias("__rule_others"),
+        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("__rule_upper"),
+        hashes.alias("__rule_hashes"),
     )
-    return rows.withColumn("n_repeat_words", repeated_words(F.col("_hashes"))).drop("_hashes")
+    return rows.withColumn("n_repeat_words", repeated_words(F.col("__rule_hashes"))).drop("__rule_hashes")
 
 
 def rules() -> dict[str, Column]:
     """Votes. Thresholds are shares of the whole text's words, lines or characters; variety is distinct words by the root of all."""
-    n, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "_n_lines"))
+    n, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "__rule_n_lines"))
 
     def vote(against: Column, good: Column | None = None) -> Column:
         out = F.when(against, -1)
         return (out if good is None else out.when(good, 1)).otherwise(0)
 
-    symbols, marks = F.col("n_symbols") / n, F.col("_marks") / n
-    upper, others = F.col("_upper") / chars, F.col("_others") / chars
-    repeats, dups, distinct = F.col("n_repeat_words") / n, F.col("n_dup_lines") / lines, F.col("_distinct") / F.sqrt(n)
+    symbols, marks = F.col("n_symbols") / n, F.col("__rule_marks") / n
+    upper, others = F.col("__rule_upper") / chars, F.col("__rule_others") / chars
+    repeats, dups, distinct = F.col("n_repeat_words") / n, F.col("n_dup_lines") / lines, F.col("__rule_distinct") / F.sqrt(n)
     return {
         "symbols": vote(symbols > 0.1),
         "letters": vote(others > 0.15),
@@ -146,4 +148,4 @@ def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
-    return rows.drop("_n_lines", "_distinct", "_marks", "_others", "_upper")
+    return rows.drop("__rule_n_lines", "__rule_distinct", "__rule_marks", "__rule_others", "__rule_upper")
