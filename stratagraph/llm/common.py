@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, fresh_dir, shared_dir  # noqa: F401
+
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -21,40 +21,21 @@ BYTE_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BATCH_ROWS = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as Parquet; batches to Python are kept small from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratagraph-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return named or current.get()
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """The URI of a new folder's place below the shared one; it isn't made yet."""
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    return path if re.match(r"[a-z0-9]+:/", path) else f"file://{path}"
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow in small batches, for DataFrame.transform(): documents may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns (in the order of the schema)."""
     from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else None
+    fields = StructType.fromDDL(schema)
     names = [f.name for f in fields]
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -65,14 +46,7 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
             out = function(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], names=names)
 
-    return df.mapInArrow(run, schema)
-
-
-def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    """A list column of consecutive runs of values."""
-    offsets = np.zeros(len(counts) + 1, dtype=np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return in_arrow(df, run, schema)
 
 
 def crc_mod(column: str, divisor: int):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64
+from .common import crc_mod, in_arrow, mix64
 
 SIZES = (3, 4)
 PER_LANGUAGE = 1500
@@ -37,6 +37,20 @@ HASHES = 3
 #: n-grams that a filter takes at most, the most frequent first: about 2.6 % false positives.
 MOST_GRAMS = 120_000
 UNDETERMINED = "und"
+#: Characters whose n-grams are in memory at once (a longer text alone).
+CHUNK = 200_000
+
+
+def chunks(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about CHUNK characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > CHUNK:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +124,7 @@ class LanguageFilter:
         plain = [t or "" for t in texts]
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        shares = self.shares(plain)
+        shares = np.concatenate([self.shares(plain[part]) for part in chunks(plain)]) if plain else np.zeros((0, len(self.languages)))
         best = shares.argmax(1)
         top = np.sort(shares, axis=1)[:, ::-1]
         second = top[:, 1] if top.shape[1] > 1 else np.zeros(len(top))
@@ -143,17 +157,18 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, counts = gram_hashes(batch.column(0).to_pylist())
-            names = batch.column(1).to_pylist()
+            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held: dict[str, list[np.ndarray]] = {}
-            for name, own in zip(names, np.split(hashes, np.cumsum(counts)[:-1]), strict=True):
-                held.setdefault(name, []).append(np.unique(own))
+            for part in chunks(texts):
+                hashes, counts = gram_hashes(texts[part])
+                for name, own in zip(names[part], np.split(hashes, np.cumsum(counts)[:-1]), strict=True):
+                    held.setdefault(name, []).append(np.unique(own))
             for name, parts in held.items():
                 grams, docs = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(docs, pa.int64())], names=["lang", "gram", "docs"])
 
     sizes = {n: min(t, per_language) for n, t in totals.items()}
-    counts = some.select("text", "lang").mapInArrow(run, "lang string, gram bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    counts = some.select("text", "lang").transform(in_arrow, run, "lang string, gram bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     of = F.create_map(*[x for n, s in sizes.items() for x in (F.lit(n), F.lit(float(s)))])
     counts = counts.withColumn("rate", F.col("docs") / of[F.col("lang")])
     highest = counts.groupBy("gram").agg(F.max("rate").alias("highest"))
@@ -179,7 +194,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", carry: l
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *own])
 
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(F.col(text).cast("string").alias("_text"), *carry).mapInArrow(run, f"{head}, lang_pred string, score double, share double")
+    return docs.select(F.col(text).cast("string").alias("__lang_text"), *carry).transform(in_arrow, run, f"{head}, lang_pred string, score double, share double")
 
 
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2, carry: list[str] | None = None) -> DataFrame:

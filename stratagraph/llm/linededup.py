@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_LOWER, SPACE, cut
+from .common import BYTE_LOWER, SPACE, cut, in_arrow
 from .mphf import PerfectHash
 
 #: Hashes in a shard, about; bytes of shards in one broadcast.
@@ -59,7 +59,7 @@ def line_counts(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
             both = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(list(held.values()), pa.int64())], names=["h", "f", "n"])
 
-    counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "h bigint, f bigint, n bigint")
+    counted = docs.select(F.col(text).cast("string")).transform(in_arrow, run, "h bigint, f bigint, n bigint")
     return counted.groupBy("h", "f").agg(F.sum("n").alias("n"))
 
 
@@ -175,7 +175,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
                 else:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())], names=[*names, "_dropped"])
 
-        out = out.select(*names, "_dropped").mapInArrow(run, schema + (", n_lines bigint, n_dropped bigint" if last else ", _dropped binary"))
+        out = out.select(*names, "_dropped").transform(in_arrow, run, schema + (", n_lines bigint, n_dropped bigint" if last else ", _dropped binary"))
         if not last:
             out = cut(out)
     return out

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_LOWER, cut, mix64
+from .common import BYTE_LOWER, cut, in_arrow, mix64
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Classes in a block of a bucket.
@@ -91,7 +91,7 @@ def signed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "h1", "h2", "bands"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return rows.transform(in_arrow, run, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -106,7 +106,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, key: str, text: st
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id", "shingles"])
+    return rows.join(wanted, "id", "left_semi").transform(in_arrow, run, "id bigint, shingles array<bigint>").dropDuplicates(["id", "shingles"])
 
 
 def similar(shared, left, right, percent: int):
@@ -219,7 +219,7 @@ def joined_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percen
             found.update(_joins([(row[3], row[4], row[5], own) for row, own in group], bucket & BANDS - 1, b0 == b1, percent))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return rows.select("bucket", "b0", "b1", "block", "id", "component", "shingles").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("bucket", "b0", "b1", "block", "id", "component", "shingles").transform(in_arrow, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import crc_mod, cut, in_arrow
 
 FEATURES, BANDWIDTH, RIDGE = 128, 3.0, 1e-3
 BINS, LOW, HIGH = 2000, -1.0, 2.0
@@ -67,7 +67,7 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["key", "stats"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(run, f"key {kind}, stats array<double>")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string")).transform(in_arrow, run, f"key {kind}, stats array<double>")
 
 
 class KernelModel:
@@ -130,7 +130,7 @@ def fit(rows: DataFrame) -> KernelModel | None:
             values = np.round(np.concatenate([left[upper], right]) * SCALE).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["place", "value"])
 
-    sums = rows.select("stats", "y").mapInArrow(equations, "place int, value bigint").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy(float) / SCALE
+    sums = rows.select("stats", "y").transform(in_arrow, equations, "place int, value bigint").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy(float) / SCALE
     left = np.zeros((FEATURES, FEATURES))
     left[upper] = sums[: len(upper[0])]
     left = left + np.triu(left, 1).T
@@ -147,7 +147,7 @@ def fit(rows: DataFrame) -> KernelModel | None:
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used]), pa.array(total[used])], names=["bin", "n", "t"])
 
-    bins = rows.select("stats", "y").mapInArrow(binned, "bin int, n bigint, t bigint").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas().sort_values("bin")
+    bins = rows.select("stats", "y").transform(in_arrow, binned, "bin int, n bigint, t bigint").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas().sort_values("bin")
     centre = LOW + (bins["bin"].to_numpy() + 0.5) * (HIGH - LOW) / BINS
     model.knots, model.values = pooled(bins["n"].to_numpy(float), bins["t"].to_numpy(float), centre)
     return model
@@ -168,6 +168,6 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["key", "score"])
 
     kind = stats.schema["key"].dataType.simpleString()
-    out = stats.mapInArrow(run, f"key {kind}, score double")
+    out = stats.transform(in_arrow, run, f"key {kind}, score double")
     held_out = F.coalesce(crc_mod("key", modulus) == held, F.lit(False))
     return out.select(F.col("key").alias(key), held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch, fresh_dir
+from .common import by_batch, fresh_dir, in_arrow
 
 #: Uncompressed bytes after which a new file begins.
 ROTATE = 24 << 20
@@ -254,7 +254,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["path", "records", "bytes"])
 
-    return rows.select("page_id", "url", "payload", "first_id").mapInArrow(run, "path string, records bigint, bytes bigint")
+    return rows.select("page_id", "url", "payload", "first_id").transform(in_arrow, run, "path string, records bigint, bytes bigint")
 
 
 def read_archives(files: DataFrame, kind: T.DataType) -> DataFrame:
@@ -275,7 +275,7 @@ def read_archives(files: DataFrame, kind: T.DataType) -> DataFrame:
                         out[n].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int64() if n == "payload_bytes" else pa.string()) for n in names], names=list(names))
 
-    rows = files.select("content").mapInArrow(run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, warc_date string, record_id string, target_uri string")
+    rows = files.select("content").transform(in_arrow, run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, warc_date string, record_id string, target_uri string")
     return rows.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 
