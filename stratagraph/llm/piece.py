@@ -31,24 +31,27 @@ from .common import by_batch
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-#: Segments in the memo of a worker; it is emptied when full.
-MEMO = 500_000
+#: Segments in each half of a worker's memo, and pairs whose compatibility is kept.
+MEMO, PAIRS = 120_000, 300_000
 #: Longer segments aren't kept in the memo.
 MEMO_CHARS = 48
 _CODECS: dict[str, PieceCodec] = {}
 
 
 class _Memo(dict):
-    """A segment's ids by the segment without the prefix."""
+    """A segment's ids by the segment without the prefix. When it is full it becomes the older half, from which what is used comes back."""
 
     def __init__(self, encode, prefix: str):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.prefix, self.older = encode, prefix, {}
 
     def __missing__(self, key: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(self.prefix + key))
+        ids = self.older.get(key)
+        if ids is None:
+            ids = tuple(self.encode(self.prefix + key))
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[key] = ids
         return ids
@@ -99,7 +102,7 @@ class PieceCodec:
 
     def _compatible(self, left: int, right: int) -> bool:
         ok = self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
-        if len(self.pairs) >= 4 * MEMO:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[left, right] = ok
         return ok
