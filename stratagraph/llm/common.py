@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -21,10 +22,22 @@ BYTE_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BATCH_ROWS = 512
 
 
+def tidy(run: Callable) -> Callable:
+    """The function, after which a worker gives free memory back; workers stay for further tasks and stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow in small batches, for DataFrame.transform(): documents may be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
