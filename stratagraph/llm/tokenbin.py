@@ -22,8 +22,10 @@ text, and each has its own entry.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +36,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, mix64
+from .common import BYTE_LOWER, cut, fresh_dir, in_arrow, mix64
 from .mphf import PerfectHash
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,43 +44,124 @@ END = 2
 MAGIC = b"STIDS1\0\0"
 #: Ids after which a shard is closed.
 SHARD_IDS = 4_000_000
-MEMO = 400_000
-MEMO_CHARS = 48
+MEMO = 300_000
+#: Documents whose words are looked up together.
+PART = 128
+MEMO_CHARS = 64
+#: Marks that may follow a word.
+MARKS = b".,;:!?"
 NULL_KEY = -(2**63)
+#: Bytes as the letters that byte-level vocabularies write them with: printable ones as they are, the others
+#: in order from U+0100; here a blank stays, as it parts words.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)} | {32: " "}
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """The tokenizers library, with a bounded memo of words.
 
-    The vocabulary's rules never join characters across white space, so that a text's ids are those of
-    its words, one after another. Words are what lies between blanks and line feeds.
+    The vocabulary's rules never join characters across white space, so that a text's ids are those of its words,
+    one after another; nor across the end of a run of letters, so that marks after a word are looked up on their
+    own. Lower case is part of the rules, and A-Z are lowered first unless the text may hold a special token's
+    string. Unknown words of letters only are encoded together, as one text of words: each word ends with the
+    first id that ends words. All others are encoded one by one.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library spin
         self.library = Tokenizer.from_file(path)
+        # for words of letters alone, given in the vocabulary's letters: the same merges, cut at blanks
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters.model._resize_cache(0)  # each word comes once
         self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {}
+        ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            ends[i] = token.endswith("</w>")
+        self.ends = ends
+        self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
+    @staticmethod
+    def _plain(word: bytes) -> bool:
+        """Latin, Greek or Cyrillic letters only, also after the rules' normal form and lower case."""
+        text = word.decode()
+        return word.isalpha() or text.isalpha() and max(text) < "\u0530" and "\u03a3" not in text and unicodedata.normalize("NFC", text).lower().isalpha()
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Plain words, a few hundred to a text; the ids that end words say where each one ends."""
+        texts = []
+        for i in range(0, len(words), 400):
+            raw = b" ".join(words[i : i + 400])
+            if not raw.isascii() or raw.lower() != raw:
+                raw = unicodedata.normalize("NFC", raw.decode()).lower().encode()
+            texts.append(raw.decode("latin-1").translate(BYTE_LETTERS))
+        got = [np.array(x.ids, self.type) for x in self.letters.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.zeros(0, self.type)
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.type.itemsize
+        if len(stops) != len(words):
+            return self._singly(words)
+        raw, stops = ids.tobytes(), stops.tolist()
+        return {w: raw[i:j] for w, i, j in zip(words, [0, *stops[:-1]], stops, strict=True)} if words else {}
+
+    def _singly(self, words: list[bytes]) -> dict[bytes, bytes]:
+        got = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(x.ids, self.type).tobytes() for w, x in zip(words, got, strict=True)}
+
+    def _learn(self, fresh: set[bytes]) -> list[bytes]:
+        """Puts new words into the memo; those that it gives are for this part only."""
+        memo, before, plain_word = self.memo, self.before, self._plain
+        out: dict[bytes, bytes] = {}
+        plain: set[bytes] = set()
+        other: set[bytes] = set()
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        for word in fresh:
+            if word in before:
+                out[word] = before[word]
+                continue
+            core = word.rstrip(MARKS)
+            if not core or not (core.isalpha() or plain_word(core)):
+                other.add(word)
+            elif len(core) == len(word):
+                plain.add(word)
+            else:
+                marks = word[len(core) :]
+                cut.append((word, core, marks))
+                if core not in memo:
+                    plain.add(core)
+                if marks not in memo:
+                    other.add(marks)
+        out |= self._letters(list(plain))
+        out |= self._singly(list(other))
+        for word, core, marks in cut:
+            out[word] = (out[core] if core in out else memo[core]) + (out[marks] if marks in out else memo[marks])
+        memo.update(out)
+        return [w for w in out if len(w) > MEMO_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as raw bytes, without the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        now: dict[str, bytes] = {"": b""}
-        fresh = list({w for words in split for w in words if w not in memo and w})
-        for word, got in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            (memo if len(word) <= MEMO_CHARS else now)[word] = self._pack(got.ids)
-        memo[""] = b""
-        if len(now) > 1:
-            return [b"".join([memo[w] if w in memo else now[w] for w in words]) for words in split]
-        return [b"".join([memo[w] for w in words]) for words in split]
+        raw = [t.encode() for t in texts]
+        split = [(r if b"<|" in r else r.translate(BYTE_LOWER)).replace(b"\n", b" ").split(b" ") for r in raw]
+        if len(self.memo) > MEMO:
+            self.memo, self.before = {}, self.memo
+        self.memo[b""] = b""
+        memo, out = self.memo, []
+        for at in range(0, len(split), PART):
+            part = split[at : at + PART]
+            fresh = set().union(*part).difference(memo)
+            long = self._learn(fresh) if fresh else ()
+            look = memo.__getitem__
+            out += [b"".join(map(look, own)) for own in part]
+            for word in long:
+                del memo[word]
+        return out
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.type).tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -157,7 +240,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
         files, root = pyarrow.fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         coder = encoder(path)
-        end = coder._pack([END])
+        end = coder.pack([END])
         done, keys, repeats, payloads, size, number = [], [], [], [], 0, 0
         last, run_length = object(), 0
 
@@ -189,7 +272,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
         columns = zip(*done, strict=True) if done else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "shard string, part int, number int, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint")
+    return rows.transform(in_arrow, run, "shard string, part int, number int, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
@@ -220,7 +303,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, key: str
                 columns = [pa.array([name] * shard.n), pa.array(shard.keys, mask=shard.nulls), pa.array(shard.repeats.astype(np.int64)), pa.array(offsets), pa.array(lengths), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", key, "repeat", "offset", "n_tokens", "ids_crc32"])
 
-    rows = files.select(name.alias("shard"), "content").mapInArrow(run, f"shard string, {key} bigint, repeat bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.select(name.alias("shard"), "content").transform(in_arrow, run, f"shard string, {key} bigint, repeat bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
     starts = shard_starts(manifest).select("shard", F.col("start").alias("shard_start"))
     return rows.join(starts, "shard").select(key, "repeat", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -248,7 +331,7 @@ def lookup(spark: SparkSession, folder: str, manifest: DataFrame, keys: DataFram
                         ids.append(shard.ids[a : a + n].astype(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=[key, "ids"])
 
-    return files.join(routed, "shard").select("content", "keys").mapInArrow(run, f"{key} bigint, ids array<bigint>")
+    return files.join(routed, "shard").select("content", "keys").transform(in_arrow, run, f"{key} bigint, ids array<bigint>")
 
 
 def id_files(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
