@@ -291,6 +291,28 @@ def multi_source_impact(spark, sf_dir):
     return traverse.merged_impact(traverse.impact(_part_starts(spark, sf_dir), _stored(spark, sf_dir), 2))
 
 
+# the whole job: every class is a root
+
+
+def _all_part_starts(spark, sf_dir):
+    return bridge.classes(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("root"), F.col("p_id").alias("id"))
+
+
+_ALL_PARTS = "SELECT p_partkey::VARCHAR AS root, p_id AS id FROM cl"
+
+
+@query(_renamed(_impact_sql(_ALL_PARTS, 2, "SELECT root, bucket, count(*)::BIGINT AS nodes, count(DISTINCT via)::BIGINT AS kinds FROM hit GROUP BY root, bucket")))
+def impact_buckets_all(spark, sf_dir):
+    found = traverse.impact(_all_part_starts(spark, sf_dir), _stored(spark, sf_dir), 2)
+    return found.groupBy("root", "bucket").agg(F.count("*").alias("nodes"), F.countDistinct("via").alias("kinds"))
+
+
+@query(_renamed(_impact_sql(_ALL_PARTS, 2, """, byn AS (SELECT id, max(confidence) AS confidence, count(DISTINCT (via, evidence_path, evidence_line))::BIGINT AS evidence, count(DISTINCT root)::BIGINT AS roots FROM hit GROUP BY id)
+SELECT *, CASE WHEN confidence>=0.85 THEN 'high' WHEN confidence>=0.6 THEN 'medium' ELSE 'low' END AS bucket FROM byn""")))
+def multi_source_impact_all(spark, sf_dir):
+    return traverse.merged_impact(traverse.impact(_all_part_starts(spark, sf_dir), _stored(spark, sf_dir), 2))
+
+
 @query(""", st AS (SELECT f_id AS id FROM fn WHERE o_orderkey=5),
 paid AS (SELECT DISTINCT source_node_id AS src, target_node_id AS dst FROM edges WHERE type IN ('HANDLES_ROUTE','EXPOSES_ENDPOINT','CALLS','INSTANTIATES','IMPORTS','READS','WRITES','READS_ENV','USES_CONFIG','PUBLISHES_EVENT','CONSUMES_EVENT','READS_TABLE','WRITES_TABLE','DEPENDS_ON')),
 free AS (SELECT source_node_id AS src, target_node_id AS dst FROM edges WHERE type IN ('DEFINES','CONTAINS') UNION SELECT target_node_id, source_node_id FROM edges WHERE type IN ('DEFINES','CONTAINS')),
