@@ -85,7 +85,7 @@ class Engine:
         owned = ("resolver",)
         edges = edges.filter(~F.coalesce(F.col("extractor").isin(*owned), F.lit(False)))
         nodes = nodes.cache()
-        made = self._resolved(nodes, registry)
+        made = self._resolved(nodes, registry, edges)
         edges = edges.unionByName(made.select(*names["edges"]))
         nodes = nodes.join(ingest.stale_directories(nodes, registry).select("id"), "id", "left_anti").select(*names["nodes"])
         edges = ingest.connected_edges(edges, nodes).cache()
@@ -101,10 +101,10 @@ class Engine:
         out = self._history_if_moved(self._meta())
         return {"files_scanned": sum(counts.values()), "files_changed": changed, "files_deleted": counts.get("deleted", 0), "warnings": warnings, "history": out, "seconds": round(time.time() - began, 3)}
 
-    def _resolved(self, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    def _resolved(self, nodes: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
         """Edges across files: calls by import and by name, mentions, routes and tables."""
         names = [x.split(" ")[0] for x in schemas.EDGES.split(", ")]
-        module = "struct<pending:array<struct<caller_id:string,name:string,line:int,function_id:string,class_id:string>>,imports:map<string,struct<kind:string,module:string,symbol:string>>>"
+        module = "struct<pending:array<struct<caller_id:string,name:string,line:int,function_id:string,class_id:string>>,imports:map<string,struct<kind:string,module:string,symbol:string>>,orm_operations:array<struct<source_id:string,model:string,mode:string,line:int,pattern:string>>>"
         modules = nodes.filter("type = 'Module'").select("path", F.from_json("metadata", module).alias("m"))
         pending = modules.select("path", F.explode("m.pending").alias("p")).select("path", "p.*")
         by_name = resolve.name_match_calls(pending.filter("name is not null").select("caller_id", "path", "name", "line"), nodes).drop("id")
@@ -121,12 +121,35 @@ class Engine:
         bindings = modules.select("path", F.explode("m.imports").alias("local", "b")).filter("b.kind = 'symbol'").select("path", "local", F.concat(F.replace("b.module", F.lit("."), F.lit("/")), F.lit(".py")).alias("target_path"), F.col("b.symbol").alias("symbol"))
         handled = resolve.route_handlers(routes.drop("start_line"), nodes, bindings).join(routes.select("route_id", "path", "start_line"), "route_id")
         handled = handled.select(F.col("route_id").alias("source_node_id"), "target_node_id", F.lit("HANDLES_ROUTE").alias("type"), "path", "start_line", F.lit(0.9).alias("confidence"), F.lit(False).alias("is_inferred"))
-        out = by_name.unionByName(by_import).unionByName(handled).withColumn("metadata", F.lit("{}")).unionByName(mentioned)
+        operations = modules.select("path", F.explode("m.orm_operations").alias("o")).select("path", "o.*")
+        tables = self._table_edges(operations, bindings, nodes)
+        out = by_name.unionByName(by_import).unionByName(handled).withColumn("metadata", F.lit("{}")).unionByName(mentioned).unionByName(tables)
+        out = out.unionByName(self._callback_calls(out.unionByName(edges.select(*out.columns)), nodes))
         out = out.withColumn("id", edge_id(F.col("type"), F.col("source_node_id"), F.col("target_node_id"), F.col("path"), F.col("start_line")))
         now = F.current_timestamp()
-        fill = {"end_line": F.lit(None).cast("int"), "extractor": F.lit("resolver"), "commit_hash": F.lit(None).cast("string"), "inference_reason": F.when(F.col("is_inferred"), "unique name"), "created_at": now, "updated_at": now, "last_seen_at": now}
+        fill = {"end_line": F.lit(None).cast("int"), "extractor": F.lit("resolver"), "commit_hash": F.lit(None).cast("string"), "inference_reason": F.when(F.col("type").isin("READS_TABLE", "WRITES_TABLE"), "sqlalchemy-convention").when(F.col("is_inferred"), "unique name"), "created_at": now, "updated_at": now, "last_seen_at": now}
         return out.withColumns(fill).select(*names).dropDuplicates(["id"])
 
+    def _table_edges(self, operations: DataFrame, bindings: DataFrame, nodes: DataFrame) -> DataFrame:
+        """READS_TABLE and WRITES_TABLE of operations whose model is one class, of the file or imported, with one table."""
+        classes = nodes.filter("type = 'Class'").groupBy("path", "name").agg(F.count("*").alias("n"), F.min("id").alias("class_id")).filter("n = 1").drop("n")
+        packages = bindings.withColumn("target_path", F.regexp_replace("target_path", r"\.py$", "/__init__.py"))
+        far = bindings.unionByName(packages).join(classes.select(F.col("path").alias("target_path"), F.col("name").alias("symbol"), F.col("class_id").alias("far_id")), ["target_path", "symbol"])
+        far = far.groupBy("path", F.col("local").alias("model")).agg(F.countDistinct("far_id").alias("n"), F.min("far_id").alias("far_id")).filter("n = 1").drop("n")
+        asked = operations.join(classes.withColumnRenamed("name", "model"), ["path", "model"], "left").join(far, ["path", "model"], "left")
+        asked = asked.select("source_id", "path", "mode", "line", F.coalesce("class_id", "far_id").alias("model")).filter("model is not null")
+        models = nodes.filter("type = 'Table'").select(F.get_json_object("metadata", "$.model_id").alias("name"), F.col("id").alias("table_id")).filter("name is not null")
+        made = resolve.table_edges(asked.withColumnRenamed("source_id", "source_node_id"), models)
+        return made.select("source_node_id", "target_node_id", "type", "path", "start_line", F.lit(0.85).alias("confidence"), F.lit(True).alias("is_inferred"), F.lit('{"framework":"sqlalchemy"}').alias("metadata"))
+
+    def _callback_calls(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The module's calls within an inline route callback as calls of the callback."""
+        calls = edges.filter("type = 'CALLS'").join(nodes.filter("type = 'Module'").select(F.col("id").alias("source_node_id")), "source_node_id", "left_semi")
+        calls = calls.withColumn("id", edge_id(F.col("type"), F.col("source_node_id"), F.col("target_node_id"), F.col("path"), F.col("start_line")))
+        spans = nodes.filter(F.get_json_object("metadata", "$.synthetic_identity").isNotNull()).select(F.col("id").alias("route_id"), "path", "start_line", "end_line")
+        taken = resolve.inline_handlers(spans, calls.select("id", "path", "start_line").distinct())
+        return calls.join(taken, "id").withColumn("source_node_id", F.col("route_id")).select(*edges.columns)
+
     def _history_if_moved(self, meta: dict) -> dict:
         """Mines the history anew where head or settings differ; says in what state it is."""
         why = git.status(self.root)

@@ -39,6 +39,7 @@ class _Scopes(ast.NodeVisitor):
         self.calls: list[tuple[str, str | None, ast.Call]] = []
         self.reads: list[tuple[str, str, int]] = []
         self.models: list[dict] = []
+        self.operations: list[dict] = []
 
     def owner(self) -> str:
         return next((i for kind, _, i in reversed(self.stack) if kind != "Class"), self.module_id)
@@ -59,9 +60,10 @@ class _Scopes(ast.NodeVisitor):
         self.stack.pop()
 
     def visit_ClassDef(self, node):  # noqa: N802
-        table = next((s.value.value for s in node.body if isinstance(s, ast.Assign) and isinstance(s.value, ast.Constant) and any(isinstance(t, ast.Name) and t.id == "__tablename__" for t in s.targets)), None)
-        if table:
-            self.models.append({"class": node.name, "table": table, "line": node.lineno})
+        for s in node.body:
+            targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []
+            if any(isinstance(t, ast.Name) and t.id == "__tablename__" for t in targets) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str) and s.value.value:
+                self.models.append({"class": node.name, "table": s.value.value, "line": s.lineno})
         self._definition(node, "Class")
 
     def visit_FunctionDef(self, node):  # noqa: N802
@@ -97,10 +99,39 @@ class _Scopes(ast.NodeVisitor):
         cls = next((n for kind, n, _ in reversed(self.stack) if kind == "Class"), None)
         self.calls.append((owner, cls, node))
         text = ast.unparse(node.func)
+        self._operation(owner, text.split("."), node)
         if text in ("os.getenv", "os.environ.get", "getenv", "environ.get") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
             self.reads.append((owner, node.args[0].value, node.lineno))
         self.generic_visit(node)
 
+    def _operation(self, owner: str, parts: list[str], node: ast.Call) -> None:
+        """Reads and writes of SQLAlchemy models by their usual patterns."""
+        first = node.args[0] if node.args else None
+        model = first.id if isinstance(first, ast.Name) else None
+        mode, pattern = "read", None
+        if len(parts) >= 3 and parts[1] == "query":
+            model, pattern = parts[0], "Model.query.*"
+        elif parts == ["select"]:
+            pattern = "select(Model)"
+        elif "session" in parts[:-1] and parts[-1] == "get":
+            pattern = "session.get(Model, ...)"
+        elif "session" in parts[:-1] and parts[-1] in ("add", "merge"):
+            model = first.func.id if isinstance(first, ast.Call) and isinstance(first.func, ast.Name) else None
+            mode, pattern = "write", f"session.{parts[-1]}(Model(...))"
+        if model and pattern:
+            self.operations.append({"source_id": owner, "model": model, "mode": mode, "line": node.lineno, "pattern": pattern})
+
+    def tables(self) -> None:
+        """A Table for each literal of a class whose name is the only one of the file."""
+        own = [n for n in self.out.nodes if n["type"] == "Class"]
+        for fact in self.models:
+            named = [n for n in own if n["name"] == fact["class"]]
+            if len(named) != 1:
+                continue
+            about = {"framework": "sqlalchemy", "model": named[0]["qualified_name"], "model_id": named[0]["id"]}
+            table = self.out.node("Table", fact["table"], f"{named[0]['qualified_name']}.__table__:{fact['table']}", fact["line"], fact["line"], "sql", about)
+            self.out.edge("DEPENDS_ON", named[0]["id"], table, fact["line"], fact["line"], metadata={"relation": "maps-table"})
+
     def visit_Subscript(self, node):  # noqa: N802
         if isinstance(node.ctx, ast.Load) and ast.unparse(node.value) in ("os.environ", "environ") and isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, str):
             self.reads.append((self.owner(), node.slice.value, node.lineno))
@@ -151,12 +182,13 @@ def parse(path: str, content: str) -> Parsed:
     scopes = _Scopes(out, module, module_id, lines or [""])
     scopes.visit(tree)
     scopes.resolve()
+    scopes.tables()
     for owner, name, line in scopes.reads:
         out.edge("READS_ENV", owner, out.env(name, line), line)
     for bound in {b["module"]: b for b in scopes.imports.values() if b["module"]}.values():
         for target in (bound["module"].replace(".", "/") + ".py", bound["module"].replace(".", "/") + "/__init__.py"):
             out.edge("IMPORTS", module_id, node_key("Module", bound["module"].rsplit(".", 1)[-1], bound["module"], target), bound["line"])
-    about = {"imports": scopes.imports, "external_imports": sorted(set(scopes.external)), "pending": scopes.pending, "orm_models": scopes.models, "is_test_file": is_test(path)}
+    about = {"imports": scopes.imports, "external_imports": sorted(set(scopes.external)), "pending": scopes.pending, "orm_models": scopes.models, "orm_operations": scopes.operations, "is_test_file": is_test(path)}
     out.node("Module", module.rsplit(".", 1)[-1], module, 1 if lines else None, len(lines) or None, "python", about)
     if is_test(path):
         out.node("TestFile", posixpath.basename(path), path, 1, len(lines) or None, "python")

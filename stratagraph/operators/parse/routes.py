@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import posixpath
 import re
 
+from . import light
 from .model import Parsed
 from .python_code import module_of
 
@@ -16,6 +18,24 @@ def _literal(node: ast.AST | None) -> str | None:
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
 
+def _arguments(bare: str, at: int) -> list[tuple[int, int]]:
+    """(start, end) of the arguments from ``at`` up to the call's closing bracket; none where it isn't closed."""
+    depth, start, out = 0, at, []
+    for m in re.finditer(r"[(){}\[\],]", bare[at:]):
+        if m[0] in "([{":
+            depth += 1
+        elif m[0] != ",":
+            depth -= 1
+        if depth < 0 or m[0] == "," and not depth:
+            text = bare[start : at + m.start()]
+            if text.strip() or depth >= 0:
+                out.append((start + len(text) - len(text.lstrip()), start + len(text.rstrip())))
+            if depth < 0:
+                return out
+            start = at + m.end()
+    return []
+
+
 def parse_routes(path: str, content: str) -> Parsed:
     """Flask decorators in Python; app.METHOD and router.METHOD calls in JavaScript and TypeScript."""
     out = Parsed(path, "routes")
@@ -39,13 +59,22 @@ def parse_routes(path: str, content: str) -> Parsed:
                     out.node("Route", f"{v.upper()} {where}", f"{v.upper()} {where}", mark.lineno, node.lineno, "python", {"handler": node.name, "handler_line": node.lineno, "framework": "flask"})
         return out
     language = "typescript" if path.lower().endswith((".ts", ".tsx")) else "javascript"
-    for number, line in enumerate(content.splitlines(), 1):
+    masked = light._masked(light.LANGUAGES[posixpath.splitext(path)[1].lower()], content)[1]
+    begins = 0
+    for number, line in enumerate(content.split("\n"), 1):
+        at, begins = begins, begins + len(line) + 1
         if found := _EXPRESS.search(line):
             last = found[4].rstrip().rstrip(";").rstrip(")").split(",")[-1].strip()
             inline = "=>" in found[4] or "function" in found[4]
             about = {"framework": "express", "inline": inline} | ({} if inline or not re.fullmatch(r"[\w$.]+", last) else {"handler": last})
             name = f"{found[1].upper()} {found[3]}"
-            out.node("Route", name, name, number, number, language, about)
+            given = _arguments(masked, at + found.start(4))
+            last_line = number + content.count("\n", at, given[-1][1]) if given else number
+            route = out.node("Route", name, name, number, last_line, language, about)
+            if len(given) == 1 and re.match(r"(async\s+)?(function\b|\([^{]*=>|[\w$]+\s*=>)", masked[given[0][0] : given[0][1]]):
+                first = number + content.count("\n", at, given[0][0])
+                own = out.node("Function", f"{name} callback", f"{posixpath.splitext(path)[0]}#route:{name}@{first}", first, last_line, language, {"framework": "express", "route": name, "synthetic_identity": "literal-route-and-source-span"})
+                out.edge("HANDLES_ROUTE", route, own, number, confidence=0.9)
     return out
 
 
