@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .config import Config
 from .functions import text
-from .ids import edge_id, node_key
+from .ids import edge_id, edge_key, node_id, node_key
 from .operators import budget, context, history, ingest, lookup, memory, overview, resolve, traverse
 from .operators.parse import parse_files, relations
 from .sources import git
@@ -312,7 +313,7 @@ class Engine:
         """Adds a session: a note with its decisions, assumptions, questions and tasks, anchored on what it refers to."""
         if unknown := set(lists) - {*KINDS, "changed_files"}:
             raise ValueError(f"unknown lists: {', '.join(sorted(unknown))}")
-        entry = {"created_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "summary": summary.strip()}
+        entry = {"created_at": datetime.now(UTC).isoformat(timespec="microseconds"), "summary": summary.strip()}
         entry |= {k: [str(x).strip() for x in lists.get(k, []) if str(x).strip()] for k in (*KINDS, "changed_files")}
         parts = [("summary", 0, entry["summary"])] + [(k, i, x) for k in (*KINDS, "changed_files") for i, x in enumerate(entry[k])]
         frame = self.spark.createDataFrame(parts, "field string, position int, content string")
@@ -323,12 +324,37 @@ class Engine:
         anchors = refs.join(found, "value").join(nodes, F.col("node_id") == F.col("id")).select(F.struct("field", "position", F.col("value").alias("reference"), F.col("provenance").alias("resolution_provenance"), expected.alias("expected")).alias("a")).distinct()
         row = [(None, entry["summary"], *(entry[k] for k in ("decisions", "assumptions", "open_questions", "changed_files", "next_steps")), [r["a"] for r in anchors.collect()])]
         fresh = self.spark.createDataFrame(row, schemas.MEMORY).withColumn("created_at", F.to_timestamp(F.lit(entry["created_at"])))
-        self.store.write({"memory": self.table("memory").unionByName(fresh)})
+        held = [a.asDict(recursive=True) for a in row[0][-1]]
+        self.store.write({"memory": self.table("memory").unionByName(fresh), **self._session(entry, held, nodes)})
         log = Path(self.root) / MEMORY_PATH
         log.parent.mkdir(parents=True, exist_ok=True)
         with log.open("a", encoding="utf-8") as out:
             out.write(("\n" if log.exists() and log.stat().st_size else "# Agent memory\n\n") + memory.session_markdown(entry))
-        return entry | {"anchors": [r["a"].asDict(recursive=True) for r in anchors.collect()], "note": node_key("AgentNote", summary, f"session:{entry['created_at']}", MEMORY_PATH)}
+        return entry | {"anchors": held, "note": node_key("AgentNote", summary, f"session:{entry['created_at']}", MEMORY_PATH)}
+
+    def _session(self, entry: dict, anchors: list[dict], nodes: DataFrame) -> dict[str, DataFrame]:
+        """nodes, edges and texts with a session's note, its parts and what it may have an impact on, where that exists."""
+        when, title = entry["created_at"], f"Agent session {entry['created_at']}"
+        note = node_key("AgentNote", title, f"session:{when}", MEMORY_PATH)
+        made = [(note, "AgentNote", title, f"session:{when}", json.dumps(entry | {"anchors": anchors}, sort_keys=True))]
+        links, texts = [], [(MEMORY_PATH, title, entry["summary"], note)]
+        for field, kind in KINDS.items():
+            for i, said in enumerate(entry[field]):
+                own = node_key(kind, said, f"{when}:{field}:{i + 1}", MEMORY_PATH)
+                about = {"created_at": when, "memory_kind": field, "anchors": [a for a in anchors if (a["field"], a["position"]) == (field, i)]}
+                made.append((own, kind, said, f"{when}:{field}:{i + 1}", json.dumps(about, sort_keys=True)))
+                links.append((edge_key("CONTAINS", note, own, MEMORY_PATH), note, own, "CONTAINS", json.dumps({"memory_kind": field})))
+                texts.append((MEMORY_PATH, said, said, own))
+        for path in dict.fromkeys(entry["changed_files"]):
+            target = node_key("File", path, path, path)
+            links.append((edge_key("MAY_IMPACT", note, target, MEMORY_PATH), note, target, "MAY_IMPACT", json.dumps({"changed_file": path})))
+        now = F.current_timestamp()
+        fill = {"path": F.lit(MEMORY_PATH), "confidence": F.lit(1.0), "extractor": F.lit("agent_memory"), "created_at": now, "updated_at": now, "last_seen_at": now}
+        fresh_nodes = self.spark.createDataFrame(made, "id string, type string, name string, qualified_name string, metadata string").withColumns(fill)
+        fresh_edges = self.spark.createDataFrame(links, "id string, source_node_id string, target_node_id string, type string, metadata string").withColumns(fill | {"is_inferred": F.lit(False)})
+        all_nodes = nodes.unionByName(fresh_nodes, allowMissingColumns=True)
+        fresh_edges = fresh_edges.join(all_nodes.select(F.col("id").alias("target_node_id")), "target_node_id", "left_semi")
+        return {"nodes": all_nodes, "edges": self.table("edges").unionByName(fresh_edges, allowMissingColumns=True), "texts": self.table("texts").unionByName(self.spark.createDataFrame(texts, schemas.TEXTS))}
 
     def _verified(self, entries: DataFrame) -> DataFrame:
         anchors = entries.select("entry_id", F.explode("anchors").alias("a")).select("entry_id", "a.expected.*")

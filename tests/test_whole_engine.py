@@ -59,3 +59,11 @@ def test_inline_callbacks_have_their_calls(engine):
     assert own == [(5, 8)]
     assert ("GET /items", "GET /items callback") in ends(engine, "HANDLES_ROUTE")
     assert ("GET /items callback", "find") in ends(engine, "CALLS")
+
+
+def test_memory_is_in_the_graph(engine):
+    said = engine.write_memory("Kept `lib/user.py`", decisions=["needs stays"], changed_files=["lib/user.py", "no/file.py"])
+    nodes = {r["id"]: r["type"] for r in engine.table("nodes").filter("extractor = 'agent_memory'").collect()}
+    assert sorted(nodes.values()) == ["AgentNote", "Decision"] and nodes[said["note"]] == "AgentNote"
+    assert {t for _, t in ends(engine, "MAY_IMPACT")} == {"user.py"}
+    assert "needs stays" in {t for s, t in ends(engine, "CONTAINS") if s.startswith("Agent session")}
