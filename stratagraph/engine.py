@@ -298,12 +298,26 @@ class Engine:
 
         symbols = nodes.filter(F.col("type").isin(*schemas.SYMBOL_TYPES))
         touched = changed_symbols(ranges.filter("side = 'new'"), changed, symbols)
-        starts = touched.select(F.col("id").alias("root"), "id").unionByName(nodes.filter("type in ('File', 'Module')").join(changed, "path", "left_semi").select(F.col("id").alias("root"), "id")).distinct()
+        # what deleted files had, as the snapshot may no longer hold it; edges onto it may still stand
+        deleted = [r["path"] for r in changed.filter("status = 'D'").collect()]
+        lost = context.deleted_nodes(git.old_files(self.spark, self.root, base, deleted)).join(self.spark.createDataFrame([(p,) for p in deleted], "path string"), "path", "left_semi")
+        kept = lost.filter(F.col("type").isin(*schemas.SYMBOL_TYPES)).select(*touched.columns).join(touched.select("id"), "id", "left_anti")
+        touched = touched.unionByName(kept.select(*touched.columns))
+        starts = touched.select(F.col("id").alias("root"), "id").unionByName(nodes.unionByName(lost, allowMissingColumns=True).filter("type in ('File', 'Module')").join(changed, "path", "left_semi").select(F.col("id").alias("root"), "id")).distinct()
         impacts = context.aggregate_impacts(starts, edges).join(nodes.select("id", "type", "name", "path"), "id")
-        docs = context.stale_docs(nodes, edges, starts.select("id"), changed)
+        paths = changed.select(F.explode(F.array_compact(F.array("path", "old_path"))).alias("path")).distinct()
+        docs = context.stale_docs(nodes, edges, starts.select("id"), paths)
+        old_paths = changed.filter("status in ('D', 'R')").select(F.coalesce("old_path", "path").alias("path"))
+        documents = nodes.filter("type = 'MarkdownDocument'").join(paths, "path", "left_anti").select(F.col("id").alias("doc_id"), F.col("path").alias("doc_path"), F.explode(F.from_json("metadata", "struct<references:array<struct<kind:string,value:string,line:int>>>")["references"]).alias("r"))
+        references = documents.select("doc_id", "doc_path", F.regexp_replace("r.value", "[#?].*$", "").alias("value"), "r.line").filter("value <> ''").distinct()
+        sections = nodes.filter("type = 'MarkdownSection'").select(F.col("path").alias("doc_path"), F.col("id").alias("section_id"), "start_line", "end_line")
+        historical = context.historical_path_docs(references, old_paths, sections).select("doc_path", "line", node_id(F.lit("File"), F.col("path"), F.col("path"), F.col("path")).alias("target"), F.col("path").alias("old_path"))
+        docs = docs.join(historical, ["doc_path", "line", "target"], "left_anti").withColumn("old_path", F.lit(None).cast("string")).unionByName(historical)
         external = history.historical_co_change(self._pairs(), changed.select("path"), only_external=True)
         out = {"changes": _rows(changed.orderBy("path")), "nodes": _rows(touched.orderBy("path", "start_line", "id")), "docs_likely_needing_updates": _rows(docs.orderBy("doc_path", "line", "target")), "historical_evidence": _rows(external)}
         items = _rows(impacts.orderBy(F.desc("confidence"), "path", "id"))
+        # once the snapshot has let a deleted file go, it has no edges onto it
+        out["unknowns"] = [f"Impacts of the deleted {p} are known only as far as the snapshot still holds edges onto it." for p in sorted(deleted)]
         out |= {f"{b}_confidence": [x for x in items if x["bucket"] == b] for b in ("high", "medium", "low")}
         return budget.fit(out, limit)
 

@@ -67,3 +67,14 @@ def test_memory_is_in_the_graph(engine):
     assert sorted(nodes.values()) == ["AgentNote", "Decision"] and nodes[said["note"]] == "AgentNote"
     assert {t for _, t in ends(engine, "MAY_IMPACT")} == {"user.py"}
     assert "needs stays" in {t for s, t in ends(engine, "CONTAINS") if s.startswith("Agent session")}
+
+
+def test_changes_know_deleted_and_renamed_files(engine, tree):
+    git(tree, "rm", "-q", "lib/gone.py")
+    git(tree, "mv", "lib/before.py", "lib/after.py")
+    engine.index()
+    found = engine.change_context()
+    assert ("lib/gone.py", "lost") in {(x["path"], x["name"]) for x in found["nodes"]}
+    old = {(x["doc_path"], x["line"], x["old_path"]) for x in found["docs_likely_needing_updates"]}
+    assert {("docs/guide.md", 5, "lib/gone.py"), ("docs/guide.md", 5, "lib/before.py")} <= old
+    assert len(found["unknowns"]) == 1 and ends(engine, "MAY_IMPACT")
