@@ -13,6 +13,7 @@ one row of zeros. Equal bytes give equal stored forms; nothing depends on other
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -143,23 +144,94 @@ def _zip(data: memoryview, at: int) -> int:
 
 
 def _pdf(data: memoryview, at: int) -> int:
-    rest = bytes(data[at:])
-    end = rest.rfind(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in rest[:end] else 0
+    """Up to the end mark of the last revision whose cross-reference offset holds from here.
+
+    A revision's table lies behind the one before; a linearized file's first offset is 0. Where no offset holds, the
+    last end mark before the next header counts.
+    """
+    rest, end = bytes(data[at:]), 0
+    for m in _XREF.finditer(rest):
+        place = int(m[1])
+        if place >= max(end, 1) and place < m.start() and _TABLE.match(rest, place):
+            end = m.end()
+    if not end:
+        header = rest.find(b"%PDF-", 5)
+        rest = rest if header < 0 else rest[:header]
+        last = rest.rfind(b"%%EOF")
+        end = last + 5 if last > 0 and b"startxref" in rest[:last] else 0
+    return end
+
+
+def _table(poly: int, bits: int) -> list[int]:
+    top, out = 1 << bits - 1, []
+    for i in range(256):
+        c = i << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & (1 << bits) - 1
+        out.append(c)
+    return out
+
+
+_XREF = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
+_TABLE = re.compile(rb"\s{0,2}(?:xref|\d+\s+\d+\s+obj)\b")
+_CRC8, _CRC16 = _table(0x07, 8), _table(0x8005, 16)
+
+
+def _frame_head(data: memoryview, at: int) -> bool:
+    """Whether a FLAC frame's header with its checksum stands here."""
+    head = bytes(data[at : at + 17])
+    if len(head) < 6 or head[0] != 0xFF or head[1] >> 1 != 0x7C:
+        return False
+    size, rate = head[2] >> 4, head[2] & 15
+    if not size or rate == 15 or head[3] >> 4 > 10 or head[3] >> 1 & 7 == 3 or head[3] & 1:
+        return False
+    number = next((n for n in range(8) if not head[4] >> 7 - n & 1), 8)  # leading ones of the coded number
+    if number in (1, 8):
+        return False
+    end = 4 + max(number, 1) + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for b in head[:end]:
+        crc = _CRC8[crc ^ b]
+    return end < len(head) and crc == head[end]
+
+
+def _frame(data: memoryview, at: int, most: int) -> int:
+    """The end of the frame: where its checksum holds and another frame, an object or the end follows, else where it holds first."""
+    crc, first = 0, 0
+    for place in range(at, min(len(data), at + most)):
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ data[place]]
+        if not crc and place - at >= 8:
+            end = place + 1
+            if end == len(data) or _frame_head(data, end) or bytes(data[end : end + 8]).startswith(tuple(MAGIC)):
+                return end
+            first = first or end
+    return first
 
 
 def _flac(data: memoryview, at: int) -> int:
-    """Metadata blocks; the frames have no total length and run to the end."""
+    """Metadata blocks, then frames as long as their checksums hold. A broken first frame runs to the next valid object."""
     place = at + 4
     while place + 4 <= len(data):
         (head,) = struct.unpack_from(">I", data, place)
         kind, size = head >> 24 & 0x7F, head & 0xFFFFFF
-        if place == at + 4 and (kind, size) != (0, 34):
+        if place == at + 4 and ((kind, size) != (0, 34) or place + 38 > len(data)):
             return 0
         place += 4 + size
         if head >> 31:
-            return len(data) - at if place + 2 <= len(data) and data[place] == 0xFF and data[place + 1] >> 2 == 0x3E else 0
-    return 0
+            break
+    else:
+        return 0
+    if place + 2 > len(data) or data[place] != 0xFF or data[place + 1] >> 2 != 0x3E:
+        return 0
+    info = bytes(data[at + 8 : at + 42])
+    block, longest = int.from_bytes(info[2:4]), int.from_bytes(info[7:10])
+    channels, bits = (info[12] >> 1 & 7) + 1, ((info[12] & 1) << 4 | info[13] >> 4) + 1
+    most, begin = longest or (block or 65535) * channels * (bits + 1) // 8 + 64 + 8 * channels, place
+    while _frame_head(data, place) and (end := _frame(data, place, most)):
+        place = end
+    if place == begin:
+        return next((n for n, _, _ in objects(bytes(data[begin:]))), len(data) - begin) + begin - at
+    return place - at
 
 
 VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "application/zip": _zip, "application/pdf": _pdf, "audio/flac": _flac}
