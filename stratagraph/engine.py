@@ -157,7 +157,7 @@ class Engine:
         if why != "ok":
             return {"status": "unavailable", "reason": why}
         head = git._git(self.root, "rev-parse", "HEAD").decode().strip()
-        params = json.dumps([self.config.history_window, self.config.history_max_files])
+        params = json.dumps([self.config.history_window, self.config.history_max_files, history.SHAS_KEPT])
         if (meta.get("history_head"), meta.get("history_params")) == (head, params):
             return {"status": "current", "head": head}
         commits, files, head = git.history(self.spark, self.root, self.config.history_window)
@@ -166,9 +166,14 @@ class Engine:
         pairs = history.co_change_pairs(files, self.store.read("files"), self.config.history_max_files)
         own = self.store.read("nodes").filter("type = 'File'").select("path", "id")
         made = pairs.join(own.select(F.col("path").alias("p1"), F.col("id").alias("source_node_id")), "p1").join(own.select(F.col("path").alias("p2"), F.col("id").alias("target_node_id")), "p2")
+        # the log counts from the newest commit
+        newest = commits.withColumn("seq", -F.col("seq"))
+        shas = history.supporting_commits(files, newest, pairs, max_files=self.config.history_max_files)
+        shas = shas.groupBy("p1", "p2").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sha"))), lambda x: x["sha"]).alias("supporting_commits"))
+        made = made.join(shas, ["p1", "p2"], "left").withColumn("supporting_commits_truncated", F.col("support") > history.SHAS_KEPT)
         names, now = [x.split(" ")[0] for x in schemas.EDGES.split(", ")], F.current_timestamp()
         null = F.lit(None).cast("string")
-        made = made.select("source_node_id", "target_node_id", F.lit("CO_CHANGED_WITH").alias("type"), F.lit("").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.to_json(F.struct("support", F.col("weighted").alias("weighted_support"), "score", F.array("p1", "p2").alias("paths"))).alias("metadata"), "confidence", F.lit("git_history").alias("extractor"), null.alias("commit_hash"), F.lit(True).alias("is_inferred"), F.lit("git history").alias("inference_reason"), now.alias("created_at"), now.alias("updated_at"), now.alias("last_seen_at"))
+        made = made.select("source_node_id", "target_node_id", F.lit("CO_CHANGED_WITH").alias("type"), F.lit("").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.to_json(F.struct("support", F.col("weighted").alias("weighted_support"), "score", F.array("p1", "p2").alias("paths"), "supporting_commits", "supporting_commits_truncated")).alias("metadata"), "confidence", F.lit("git_history").alias("extractor"), null.alias("commit_hash"), F.lit(True).alias("is_inferred"), F.lit("git history").alias("inference_reason"), now.alias("created_at"), now.alias("updated_at"), now.alias("last_seen_at"))
         made = made.withColumn("id", edge_id(F.col("type"), F.col("source_node_id"), F.col("target_node_id"), F.col("path"), F.col("start_line")))
         edges = self.store.read("edges").filter("type <> 'CO_CHANGED_WITH'").unionByName(made.select(*names))
         meta = meta | {"history_head": head, "history_params": params}

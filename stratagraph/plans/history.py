@@ -94,3 +94,11 @@ SELECT p1, p2, sha, place::INT AS place FROM z WHERE place<=2""")
 def supporting_commits_topn(spark, sf_dir):
     files = bridge.commit_files(spark, sf_dir)
     return history.supporting_commits(files, bridge.commits(spark, sf_dir), _pairs(spark, sf_dir), keep=2)
+
+
+# the whole job: as many commits as the operator keeps
+@query(f"""{_PAIRS}, z AS (SELECT p1, p2, a.sha, row_number() OVER (PARTITION BY p1, p2 ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM pairs JOIN s a ON a.path=p1 JOIN s c ON c.path=p2 AND c.sha=a.sha JOIN commits m ON m.sha=a.sha)
+SELECT p1, p2, sha, place::INT AS place FROM z WHERE place<=20""")
+def supporting_commits_all(spark, sf_dir):
+    files = bridge.commit_files(spark, sf_dir)
+    return history.supporting_commits(files, bridge.commits(spark, sf_dir), _pairs(spark, sf_dir))

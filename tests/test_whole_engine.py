@@ -78,3 +78,20 @@ def test_changes_know_deleted_and_renamed_files(engine, tree):
     old = {(x["doc_path"], x["line"], x["old_path"]) for x in found["docs_likely_needing_updates"]}
     assert {("docs/guide.md", 5, "lib/gone.py"), ("docs/guide.md", 5, "lib/before.py")} <= old
     assert len(found["unknowns"]) == 1 and ends(engine, "MAY_IMPACT")
+
+
+def test_pairs_have_their_newest_commits(spark, tmp_path):
+    import json
+
+    git(tmp_path, "init", "-q")
+    shas = []
+    for i in range(22):
+        for name in ("a.py", "b.py"):
+            (tmp_path / name).write_text(f"x = {i}\n")
+        git(tmp_path, "add", "a.py", "b.py")
+        git(tmp_path, "commit", "-qm", str(i))
+        shas.insert(0, subprocess.run(["git", "-C", str(tmp_path), "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip())
+    made = Engine(spark, str(tmp_path), str(tmp_path / ".stratagraph/store"))
+    made.index()
+    (about,) = [json.loads(r["metadata"]) for r in made.table("edges").filter("type = 'CO_CHANGED_WITH'").collect()]
+    assert about["supporting_commits"] == shas[:20] and about["supporting_commits_truncated"] and about["support"] == 22
