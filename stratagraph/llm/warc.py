@@ -165,12 +165,18 @@ def arc_to_warc(data: bytes, name: str, refers_to: dict[int, str] | None = None)
         yield convert(record, name, (refers_to or {}).get(i))
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The members of a gzip file, one after another."""
-    while data:
-        unzip = zlib.decompressobj(31)
-        yield unzip.decompress(data) + unzip.flush()
-        data = unzip.unused_data
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The members of a gzip file, one after another, fed in slices: what a member leaves over is less than a slice."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unzip, out = zlib.decompressobj(31), []
+        while not unzip.eof:
+            piece = view[at : at + step]
+            if not len(piece):
+                raise ValueError("the last gzip member is cut short")
+            out.append(unzip.decompress(piece))
+            at += len(piece) - len(unzip.unused_data)
+        yield b"".join(out)
 
 
 def parse_warc(data: bytes) -> WarcRecord:
