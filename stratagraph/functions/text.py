@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import stored
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 COLUMNS = ("path", "name", "content")
@@ -43,35 +45,61 @@ def phrases(query: str) -> list[list[str]]:
     return out
 
 
+def once(value: Column, body) -> Column:
+    """The body with the value computed once: optimizer rules put columns in the place of their names, but not into a lambda's argument."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def phrase_count(terms: Column, phrase: list[str]) -> Column:
-    """Occurrences of the phrase in an array of tokens. A native scan: no postings are joined."""
-    n = len(phrase)
-    if n == 1:
-        return F.size(F.filter(terms, lambda t: t == phrase[0]))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(terms) - n + 1, F.lit(1)))
-    hit = F.filter(starts, lambda i: F.slice(terms, i, n) == F.array(*map(F.lit, phrase)))
-    return F.when(F.size(terms) >= n, F.size(hit)).otherwise(0)
+    """Occurrences of the phrase in an array of tokens, which must be an argument of once() or a stored column.
+
+    A native scan: each token is compared with the first of the phrase and only then its followers; no postings are joined.
+    """
+
+    def begins(t: Column, i: Column) -> Column:
+        hit = t == phrase[0]
+        for k, word in enumerate(phrase[1:], 1):
+            hit = hit & F.coalesce(F.get(terms, i + k) == word, F.lit(False))
+        return hit
+
+    return F.size(F.filter(terms, begins))
+
+
+def phrase_facts(texts: DataFrame, wanted: list[list[str]], key: str) -> DataFrame:
+    """key, dl (all tokens), f0, f1 ... (each phrase's occurrences): each text is read and split once."""
+
+    def facts(t: Column) -> Column:
+        own = [t[c] for c in COLUMNS]
+        counts = [sum((phrase_count(x, p) for x in own), F.lit(0)).alias(f"f{i}") for i, p in enumerate(wanted)]
+        return F.struct(sum((F.size(x) for x in own), F.lit(0)).alias("dl"), *counts)
+
+    split = F.struct(*[tokens(F.col(c)).alias(c) for c in COLUMNS])
+    # a generated row: filters on the counts can't be pushed below it, where they would split the text again
+    return texts.select(key, F.explode(F.array(once(split, facts))).alias("m")).select(key, "m.*")
 
 
 def bm25(texts: DataFrame, query: str, key: str = "doc_key") -> DataFrame:
     """key, score of rows with all phrases of the query. Phrases don't cross columns; all columns weigh alike.
 
-    One scan counts tokens and phrases by row; one aggregation gives the numbers of rows, tokens and hits, a
-    single row that is joined to the hits.
+    One scan counts tokens and phrases by row and is cut (a few numbers a row), as both the numbers of rows, tokens and
+    hits, a single row, and the hits themselves, to which it is joined, are read from it.
     """
     wanted = phrases(query)
     if not wanted:
         return texts.select(key, F.lit(0.0).alias("score")).limit(0)
-    rows = texts.select(key, *[tokens(F.col(c)).alias(f"t_{c}") for c in COLUMNS])
-    counts = [sum((phrase_count(F.col(f"t_{c}"), p) for c in COLUMNS), F.lit(0)).alias(f"f{i}") for i, p in enumerate(wanted)]
-    rows = rows.select(key, sum((F.size(f"t_{c}") for c in COLUMNS), F.lit(0)).alias("dl"), *counts)
+    rows = stored(phrase_facts(texts, wanted, key))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
+    return ranked(rows, stats, len(wanted), key)
+
+
+def ranked(rows: DataFrame, stats: DataFrame, count: int, key: str) -> DataFrame:
+    """key, score of the rows (key, dl, f0 ...) with all phrases, by one row of n, avgdl, n0 ..."""
     hits = rows
-    for i in range(len(wanted)):
+    for i in range(count):
         hits = hits.filter(F.col(f"f{i}") > 0)
     hits = hits.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for i in range(len(wanted)):
+    for i in range(count):
         idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)))
         score = score + idf * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.select(key, score.alias("score"))

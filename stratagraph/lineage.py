@@ -32,3 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint, which outlives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """A Parquet table in the shared folder, read again: for what is read several times by type or column.
+
+    Unlike a checkpoint it is columnar, can be pruned (by folder for the columns ``by``, whose rows are dealt out so
+    that each has few files and a frequent one several) and filtered, and its size is known to the planner.
+    """
+    path = fresh_dir(df.sparkSession, "table")
+    if by:
+        df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

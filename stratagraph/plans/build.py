@@ -272,13 +272,12 @@ def memory_topic(spark, sf_dir):
     return memory.read(_entries(spark, sf_dir), topic="The of")
 
 
-def _anchors(spark, sf_dir, wanted="o_orderkey % 7 = 0"):
-    """Entries anchored on functions: some as they are, some with other lines, some whose file was renamed, some gone."""
+def _anchors(spark, sf_dir):
+    """Entries anchored on all functions: some as they are, some with other lines, some whose file was renamed, some gone."""
     n = bridge.functions(spark, sf_dir)
     k = F.col("o_orderkey") % 5
-    rows = n.filter(wanted)
     old_path = F.concat(F.lit("old/"), F.col("c_path"))
-    return rows.select((F.col("o_orderkey") % 40).alias("entry_id"), F.when(k < 3, F.col("f_id")).otherwise(F.sha1(F.concat("f_id", F.lit("x")).cast("binary"))).alias("id"), F.lit("Function").alias("type"), F.col("f_name").alias("name"), F.when(k < 3, F.col("c_path")).otherwise(old_path).alias("path"), (F.col("f_line") + F.when(k == 1, 1).otherwise(0)).cast("int").alias("start_line"), (F.col("f_line") + (F.col("o_orderkey") % 25) + F.when(k == 1, 1).otherwise(0)).cast("int").alias("end_line"))
+    return n.select((F.col("o_orderkey") % 40).alias("entry_id"), F.when(k < 3, F.col("f_id")).otherwise(F.sha1(F.concat("f_id", F.lit("x")).cast("binary"))).alias("id"), F.lit("Function").alias("type"), F.col("f_name").alias("name"), F.when(k < 3, F.col("c_path")).otherwise(old_path).alias("path"), (F.col("f_line") + F.when(k == 1, 1).otherwise(0)).cast("int").alias("start_line"), (F.col("f_line") + (F.col("o_orderkey") % 25) + F.when(k == 1, 1).otherwise(0)).cast("int").alias("end_line"))
 
 
 def _renames(spark, sf_dir):
@@ -286,7 +285,7 @@ def _renames(spark, sf_dir):
     return c.select(F.col("c_path").alias("path"), F.concat(F.lit("old/"), "c_path").alias("original_path"))
 
 
-_ANCHOR = """, an AS (SELECT o_orderkey%40 AS entry_id, CASE WHEN o_orderkey%5<3 THEN f_id ELSE sha1(f_id||'x') END AS id, f_name AS name, CASE WHEN o_orderkey%5<3 THEN c_path ELSE 'old/'||c_path END AS path, (f_line+CASE WHEN o_orderkey%5=1 THEN 1 ELSE 0 END)::INT AS start_line, (f_line+o_orderkey%25+CASE WHEN o_orderkey%5=1 THEN 1 ELSE 0 END)::INT AS end_line FROM fn WHERE o_orderkey%7=0),
+_ANCHOR = """, an AS (SELECT o_orderkey%40 AS entry_id, CASE WHEN o_orderkey%5<3 THEN f_id ELSE sha1(f_id||'x') END AS id, f_name AS name, CASE WHEN o_orderkey%5<3 THEN c_path ELSE 'old/'||c_path END AS path, (f_line+CASE WHEN o_orderkey%5=1 THEN 1 ELSE 0 END)::INT AS start_line, (f_line+o_orderkey%25+CASE WHEN o_orderkey%5=1 THEN 1 ELSE 0 END)::INT AS end_line FROM fn),
 rn AS (SELECT 'old/'||c_path AS old, c_path AS now FROM cu WHERE c_custkey%3<>0),
 un AS (SELECT a.path, a.name, min(n.id) AS rid, min(n.path) AS rp, min(n.start_line) AS rs, min(n.end_line) AS re FROM (SELECT DISTINCT path, name FROM an) a JOIN rn ON rn.old=a.path JOIN nodes n ON n.type='Function' AND n.path=rn.now AND n.name=a.name GROUP BY 1,2 HAVING count(DISTINCT n.id)=1),
 vr AS (SELECT a.*, coalesce(n.id, u.rid) AS found_id, CASE WHEN n.id IS NOT NULL THEN 'stable-node-id' WHEN u.rid IS NOT NULL THEN 'git-rename' ELSE 'unresolved' END AS provenance,
@@ -309,25 +308,6 @@ def verdict_histogram(spark, sf_dir):
     return memory.verdict_histogram(memory.entry_verdicts(entries, found))
 
 
-# the whole job: every function has an anchor
-_ALL_ANCHORS = _ANCHOR.replace(" FROM fn WHERE o_orderkey%7=0", " FROM fn")
-
-
-@query(_ALL_ANCHORS + " SELECT entry_id, id, name, path, found_id, provenance, verdict FROM vr")
-def anchor_verdicts_all(spark, sf_dir):
-    found = memory.verify_anchors(_anchors(spark, sf_dir, "true"), bridge.nodes(spark, sf_dir), _renames(spark, sf_dir))
-    return found.select("entry_id", "id", "name", "path", "found_id", "provenance", "verdict")
-
-
-@query(_ALL_ANCHORS + """, wo AS (SELECT entry_id, max(CASE verdict WHEN 'invalidated' THEN 2 WHEN 'drifted' THEN 1 ELSE 0 END) AS w FROM vr GROUP BY 1), en AS (SELECT range AS entry_id FROM range(45)),
-ve AS (SELECT CASE w WHEN 2 THEN 'invalidated' WHEN 1 THEN 'drifted' WHEN 0 THEN 'verified' ELSE 'unanchored' END AS verdict FROM en LEFT JOIN wo USING (entry_id))
-SELECT v AS verdict, count(ve.verdict)::BIGINT AS entries FROM (VALUES ('verified'),('drifted'),('invalidated'),('unanchored')) x(v) LEFT JOIN ve ON ve.verdict=v GROUP BY v""")
-def verdict_histogram_all(spark, sf_dir):
-    found = memory.verify_anchors(_anchors(spark, sf_dir, "true"), bridge.nodes(spark, sf_dir), _renames(spark, sf_dir))
-    entries = spark.range(45).withColumnRenamed("id", "entry_id")
-    return memory.verdict_histogram(memory.entry_verdicts(entries, found))
-
-
 # budget, quality, parsing
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lookup, overview, traverse
-from ..lineage import cut
+from ..lineage import stored
 from ..sources import bridge
 
 QUERIES, ORACLES = {}, {}
@@ -29,9 +29,13 @@ def _graph(spark, sf_dir):
     return bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir)
 
 
-def _stored(spark, sf_dir):
-    """Edges that traversals read at each level: joined and hashed once."""
-    return cut(bridge.edges(spark, sf_dir).select("id", "type", "source_node_id", "target_node_id", "path", "start_line", "confidence"))
+_ENDS_ONLY = ("type", "source_node_id", "target_node_id")
+_EVIDENCE = (*_ENDS_ONLY, "path", "start_line", "confidence")
+
+
+def _stored(spark, sf_dir, columns):
+    """Edges that traversals read at each level: joined and hashed once, with the columns that are read."""
+    return stored(bridge.edges(spark, sf_dir).select(*columns), "type")
 
 
 @query("SELECT id, type, name, path FROM nodes")
@@ -221,8 +225,7 @@ _IN = "SELECT DISTINCT target_node_id AS src, source_node_id AS dst FROM edges W
 
 
 def _trace(spark, sf_dir, depth, direction):
-    found, _ = traverse.trace_symbol(bridge.nodes(spark, sf_dir), _stored(spark, sf_dir), "order_7", depth, direction)
-    return found.select("id", "type", "name", "path", "level")
+    return traverse.trace_nodes(bridge.nodes(spark, sf_dir), _stored(spark, sf_dir, _ENDS_ONLY), "order_7", depth, direction).select("id", "type", "name", "path", "level")
 
 
 @query(_REACH.format(adj=_OUT, depth=2))
@@ -243,7 +246,7 @@ def trace_symbol_both(spark, sf_dir):
 @query(""", start AS (SELECT id FROM nodes WHERE lower(name)='order_7' ORDER BY path, start_line NULLS FIRST, id LIMIT 20)
 SELECT id, type, source_node_id, target_node_id FROM edges WHERE type<>'CO_CHANGED_WITH' AND (source_node_id IN (SELECT id FROM start) OR target_node_id IN (SELECT id FROM start))""")
 def trace_symbol_edges(spark, sf_dir):
-    _, edges = traverse.trace_symbol(bridge.nodes(spark, sf_dir), _stored(spark, sf_dir), "order_7", 1, "both")
+    _, edges = traverse.trace_symbol(bridge.nodes(spark, sf_dir), _stored(spark, sf_dir, ("id", *_EVIDENCE)), "order_7", 1, "both")
     return edges.select("id", "type", "source_node_id", "target_node_id")
 
 
@@ -265,14 +268,15 @@ hit AS (SELECT *, CASE WHEN confidence>=0.85 THEN 'high' WHEN confidence>=0.6 TH
 @query(_impact_sql("SELECT 'x' AS root, s_id AS id FROM ev0 WHERE s_suppkey=2", 3, "SELECT id, level, via, evidence_path, evidence_line, confidence, bucket FROM hit").replace("ev0", "(SELECT s_suppkey, sha1('EnvVar'||chr(0)||s_name||chr(0)) AS s_id FROM supplier)").replace("ev AS (SELECT b.root", "evi AS (SELECT b.root").replace("FROM ev)", "FROM evi)"))
 def impact_depth3(spark, sf_dir):
     starts = bridge.env_vars(spark, sf_dir).filter("s_suppkey = 2").select(F.lit("x").alias("root"), F.col("s_id").alias("id"))
-    return traverse.impact(starts, _stored(spark, sf_dir), 3).drop("root")
+    return traverse.impact(starts, _stored(spark, sf_dir, _EVIDENCE), 3).drop("root")
 
 
 def _part_starts(spark, sf_dir):
-    return bridge.classes(spark, sf_dir).filter("p_partkey % 40 = 1").select(F.col("p_partkey").cast("string").alias("root"), F.col("p_id").alias("id"))
+    """Every class is a root."""
+    return bridge.classes(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("root"), F.col("p_id").alias("id"))
 
 
-_PARTS = "SELECT p_partkey::VARCHAR AS root, p_id AS id FROM cl WHERE p_partkey%40=1"
+_PARTS = "SELECT p_partkey::VARCHAR AS root, p_id AS id FROM cl"
 
 
 def _renamed(sql: str) -> str:
@@ -281,36 +285,14 @@ def _renamed(sql: str) -> str:
 
 @query(_renamed(_impact_sql(_PARTS, 2, "SELECT root, bucket, count(*)::BIGINT AS nodes, count(DISTINCT via)::BIGINT AS kinds FROM hit GROUP BY root, bucket")))
 def impact_buckets(spark, sf_dir):
-    found = traverse.impact(_part_starts(spark, sf_dir), _stored(spark, sf_dir), 2)
+    found = traverse.impact(_part_starts(spark, sf_dir), _stored(spark, sf_dir, _EVIDENCE), 2)
     return found.groupBy("root", "bucket").agg(F.count("*").alias("nodes"), F.countDistinct("via").alias("kinds"))
 
 
 @query(_renamed(_impact_sql(_PARTS, 2, """, byn AS (SELECT id, max(confidence) AS confidence, count(DISTINCT (via, evidence_path, evidence_line))::BIGINT AS evidence, count(DISTINCT root)::BIGINT AS roots FROM hit GROUP BY id)
 SELECT *, CASE WHEN confidence>=0.85 THEN 'high' WHEN confidence>=0.6 THEN 'medium' ELSE 'low' END AS bucket FROM byn""")))
 def multi_source_impact(spark, sf_dir):
-    return traverse.merged_impact(traverse.impact(_part_starts(spark, sf_dir), _stored(spark, sf_dir), 2))
-
-
-# the whole job: every class is a root
-
-
-def _all_part_starts(spark, sf_dir):
-    return bridge.classes(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("root"), F.col("p_id").alias("id"))
-
-
-_ALL_PARTS = "SELECT p_partkey::VARCHAR AS root, p_id AS id FROM cl"
-
-
-@query(_renamed(_impact_sql(_ALL_PARTS, 2, "SELECT root, bucket, count(*)::BIGINT AS nodes, count(DISTINCT via)::BIGINT AS kinds FROM hit GROUP BY root, bucket")))
-def impact_buckets_all(spark, sf_dir):
-    found = traverse.impact(_all_part_starts(spark, sf_dir), _stored(spark, sf_dir), 2)
-    return found.groupBy("root", "bucket").agg(F.count("*").alias("nodes"), F.countDistinct("via").alias("kinds"))
-
-
-@query(_renamed(_impact_sql(_ALL_PARTS, 2, """, byn AS (SELECT id, max(confidence) AS confidence, count(DISTINCT (via, evidence_path, evidence_line))::BIGINT AS evidence, count(DISTINCT root)::BIGINT AS roots FROM hit GROUP BY id)
-SELECT *, CASE WHEN confidence>=0.85 THEN 'high' WHEN confidence>=0.6 THEN 'medium' ELSE 'low' END AS bucket FROM byn""")))
-def multi_source_impact_all(spark, sf_dir):
-    return traverse.merged_impact(traverse.impact(_all_part_starts(spark, sf_dir), _stored(spark, sf_dir), 2))
+    return traverse.merged_impact(traverse.impact(_part_starts(spark, sf_dir), _stored(spark, sf_dir, _EVIDENCE), 2))
 
 
 @query(""", st AS (SELECT f_id AS id FROM fn WHERE o_orderkey=5),
@@ -321,7 +303,7 @@ r(id, cost) AS (SELECT id, 0 FROM st UNION SELECT a.dst, r.cost+a.c FROM r JOIN
 SELECT id, min(cost)::INT AS cost FROM r GROUP BY id""")
 def data_flow_01bfs(spark, sf_dir):
     starts = bridge.functions(spark, sf_dir).filter("o_orderkey = 5").select(F.col("f_id").alias("id"))
-    return traverse.data_flow(starts, _stored(spark, sf_dir), 2, "out")
+    return traverse.data_flow(starts, _stored(spark, sf_dir, _ENDS_ONLY), 2, "out")
 
 
 @query(""", d AS (SELECT id, count(*) AS degree FROM (SELECT source_node_id AS id FROM edges WHERE type NOT IN ('DEFINES','CONTAINS') UNION ALL SELECT target_node_id FROM edges WHERE type NOT IN ('DEFINES','CONTAINS') AND source_node_id<>target_node_id) GROUP BY id)
