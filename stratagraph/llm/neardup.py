@@ -6,17 +6,23 @@ which links with nothing. Each permutation of the shingles' hashes gives two val
 largest; PERMUTATIONS of them make BANDS bands of ROWS values from different permutations. Two sets of
 similarity 0.8 miss all bands with a probability of 5e-8.
 
-1. Documents with equal sets are one class, named by its smallest id (partial sums before the shuffle).
+1. Documents with equal sets are one class with a number of its own (partial sums before the shuffle); its smallest
+   id, with the set, represents it.
 2. In each bucket of a band every class is compared with the bucket's smallest: a star, not all pairs.
    Full sets confirm, by native array_intersect; links give components by alternating star contraction.
 3. Buckets that still hold several components are compared block by block: a task has two blocks of a
-   bucket, looks only at pairs of different components, each in the first band that it shares, drops
-   those whose signatures are far from the threshold (more than 5.5 standard deviations), confirms the
-   others on full sets and emits only links that join something. Bucket size is thus bounded by no cap,
-   and no pairs are emitted for a group that the stars have joined already.
-
-Rows with a null id are never linked and have a null component; repeated rows share a class; null and
-empty texts have n_shingles 0 and their own id as component. Other columns don't matter.
+   bucket, looks only at pairs of different components, each in the first band that it shares, those with most
+   equal signature values first, and confirms them on full sets until they are joined. Pairs that can't reach the
+   threshold are known exactly from their sizes and from the parts of their sorted sets that would have to meet;
+   no pair is dropped by an estimate. Bucket size is bounded by no cap, and no pairs are emitted for a group that
+   the stars have joined already.
+4. A component is named by the smallest id of its classes.
+
+Rows with a null id are never linked and have a null component. Repeated rows share a class; rows of one id with
+different texts are in different classes, each with its own links (two of them may be in different components, of
+which both can be named by that id). Null and empty texts have n_shingles 0 and their own id as component. Very long
+texts are one set like others, hashed in pieces. Ids are whole numbers (other types raise an error when they can't
+be cast). Other columns, whatever their names, don't matter. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -94,19 +100,30 @@ def signed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     return rows.transform(in_arrow, run, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """id, shingles of the documents whose id is in ids (distinct)."""
+def set_hash(hashes: np.ndarray) -> tuple[int, int]:
+    """h1, h2 of a set."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist())
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """id, shingles of the classes (id, rep, h1, h2), from the documents that represent them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            ids, own = [], []
+            for number, h1, h2, value in zip(*(batch.column(i) for i in range(4)), strict=True):
+                found = shingles(value.as_py(), words)
+                if set_hash(found) == (h1.as_py(), h2.as_py()):  # else another text of the same id
+                    ids.append(number.as_py())
+                    own.append(found.view(np.int64))
             offsets = np.cumsum([0, *map(len, own)], dtype=np.int32)
             flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(wanted, "id", "left_semi").transform(in_arrow, run, "id bigint, shingles array<bigint>").dropDuplicates(["id", "shingles"])
+    rows = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).cast("string").alias("text"))
+    wanted = F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes
+    rows = rows.join(wanted, "rep").select("id", "h1", "h2", "text")
+    return rows.transform(in_arrow, run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
 
 
 def similar(shared, left, right, percent: int):
@@ -152,6 +169,21 @@ def _find(parent: dict[int, int], x: int) -> int:
     return x
 
 
+def may_reach(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether the parts of two sorted sets meet that must if the sets are similar.
+
+    Of n and m elements at least k are shared, so one of the shared ones is among the first n - k + 1 of the one and,
+    being the smallest shared one, among the first m - k + 1 of the other.
+    """
+    need = -(-percent * (len(one) + len(two)) // (100 + percent))
+    if need > min(len(one), len(two)):
+        return False
+    a, b = one[: len(one) - need + 1], two[: len(two) - need + 1]
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return bool((b[at] == a).any())
+
+
 def _joins(group: list[tuple], band: int, same: bool, percent: int) -> Iterator[tuple[int, int]]:
     """Links between different components in two blocks: rows are (block, id, component, set)."""
     parent: dict[int, int] = {}
@@ -166,7 +198,6 @@ def _joins(group: list[tuple], band: int, same: bool, percent: int) -> Iterator[
     block = np.array([r[0] for r in group])
     signs = np.stack([signature(r[3]) for r in group])
     sizes = np.array([len(r[3]) for r in group])
-    floor = percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / signs.shape[1]) ** 0.5
     near = []
     for i in range(len(group) - 1):
         if labels[i] == most:
@@ -175,14 +206,12 @@ def _joins(group: list[tuple], band: int, same: bool, percent: int) -> Iterator[
         rest = rest[(np.minimum(sizes[rest], sizes[i]) * 100) >= percent * np.maximum(sizes[rest], sizes[i])]
         if len(rest):
             equal = signs[rest] == signs[i]
-            share = equal.mean(1)
-            keep = share >= floor
-            first = equal[keep].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-            near += [(s, i, j) for s, j in zip(share[keep][first].tolist(), rest[keep][first].tolist(), strict=True)]
+            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            near += [(s, i, j) for s, j in zip(equal[first].mean(1).tolist(), rest[first].tolist(), strict=True)]
     near.sort(reverse=True)
     for _, i, j in near:
         a, b = _find(parent, int(labels[i])), _find(parent, int(labels[j]))
-        if a != b:
+        if a != b and may_reach(group[i][3], group[j][3], percent):
             shared = len(np.intersect1d(group[i][3], group[j][3], assume_unique=True))
             if similar(shared, int(sizes[i]), int(sizes[j]), percent):
                 parent[max(a, b)] = min(a, b)
@@ -222,39 +251,87 @@ def joined_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percen
     return rows.select("bucket", "b0", "b1", "block", "id", "component", "shingles").transform(in_arrow, run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """key, n_shingles, component_id, kept: one row for each row of docs."""
+def grouped(docs: DataFrame, words: int, percent: int, key: str, text: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, n_shingles, h1, h2; named: h1, h2, component_id, first).
+
+    component_id is the smallest id of the class's component; first is true for the one class that holds it (of several
+    classes of this id in the component, that with the smallest hash).
+    """
     rows = cut(signed(docs, words, key, text))
     classes = rows.filter("n_shingles > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-    classes = cut(classes)
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "*"))  # as written once, numbers stay
+    rows = rows.drop("bands")
+    banded = classes.select("id", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("bucket", "hub")
     members = cut(banded.join(hubs, "bucket").distinct())
     pairs = cut(members.filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    ids = cut(members.select("id").distinct())
-    sets = cut(shingle_sets(docs, ids, words, key, text))
+    wanted = cut(classes.select("id", "rep", "h1", "h2").join(members.select("id").distinct(), "id", "left_semi"))
+    sets = cut(shingle_sets(docs, wanted, words, key, text))
     links = confirmed(pairs, sets, percent)
     labels = cut(components(links))
     more = cut(joined_blocks(members.select("bucket", "id"), labels, sets, percent, block))
     over = components(more).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    # components are named by their smallest class, so that joining names joins components
+    # components are numbered by their smallest class, so that joining numbers joins components
     over = cut(over)
     lone = over.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
     labels = labels.join(F.broadcast(over) if over.count() <= BROADCAST_IDS else over, "component", "left").select("node", F.coalesce("final", "component").alias("component")).unionByName(lone)
-    named = classes.select("h1", "h2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.drop("bands").join(named, ["h1", "h2"], "left")
+    # the smallest of a component's classes names it; classes that are linked with nothing name themselves
+    own = F.struct("rep", "h1", "h2")
+    linked = cut(labels.withColumnRenamed("node", "id").join(classes.select("id", "rep", "h1", "h2"), "id"))
+    least = linked.groupBy("component").agg(F.min(own).alias("least"))
+    linked = linked.join(least, "component").select("id", F.col("least.rep").alias("component_id"), (own == F.col("least")).alias("first"))
+    named = classes.select("id", "h1", "h2", "rep").join(linked, "id", "left")
+    named = named.select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """key, n_shingles, component_id, kept (component_id is the row's id): one row for each row of docs."""
+    rows, named = grouped(docs, words, percent, key, text, block)
+    out = rows.join(named.drop("first"), ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), own))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
-def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one row of each group of near-duplicates. Rows with a null key all stay."""
-    found = cut(near_duplicates(docs, words, percent, key, text).select(key, "kept"))
-    gone = found.filter(~F.col("kept")).select(key).distinct()
-    again = found.filter(F.col("kept") & F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
-    if not again.isEmpty():  # repeated rows
-        null = F.col(key).isNull()
-        out = out.filter(~null).dropDuplicates([key]).unionByName(out.filter(null))
-    return out.select(*docs.columns)
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs without all but one row of each group of near-duplicates: a row of the class that holds the smallest id.
+
+    Of several such rows (one id repeated with the same set) the one with the smallest text stays, then the one with the
+    smallest other columns as JSON. Rows with a null key or without words are near nothing and all stay. Whole texts
+    aren't shuffled but for ids that come with several rows of which some stay.
+    """
+    rows, named = grouped(docs, words, percent, key, text, block)
+    found = rows.join(named, ["h1", "h2"], "left")
+    alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
+    stays = alone | (F.col("first") & (F.col("id") == F.col("component_id")))
+    found = found.select("id", "h1", "h2", alone.alias("alone"), F.coalesce(stays, F.lit(False)).alias("stays")).filter("id is not null")
+    by_id = cut(found.groupBy("id").agg(F.count("*").alias("n"), F.count_if("stays").alias("k"), F.count_if("alone").alias("e")))
+    # ids of which no row stays go; ids of which all rows stay as they are need no second look; the others are odd
+    odd = cut(by_id.filter("k > 0 and n > 1 and e < n").select("id"))
+    docs = docs.withColumn("__near_id", F.col(key).cast("bigint"))
+    out = docs.join(_small(by_id.filter("k = 0 or (n > 1 and e < n)").select(F.col("id").alias("__near_id"))), "__near_id", "left_anti").drop("__near_id")
+    if odd.isEmpty():
+        return out.select(*[F.col(f"`{c}`") for c in out.columns])
+    mine = docs.join(_small(odd.withColumnRenamed("id", "__near_id")), "__near_id", "left_semi")
+    names = [c for c in docs.columns if c != "__near_id"]
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(None if t.as_py() is None else str(t.as_py()), words) for t in batch.column(at)]
+            halves = np.array([set_hash(x) for x in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=[*names, "__near_id", "__near_n", "__near_h1", "__near_h2"])
+
+    head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    mine = mine.select(*names, "__near_id").transform(in_arrow, run, f"{head}, __near_id bigint, __near_n bigint, __near_h1 bigint, __near_h2 bigint")
+    best = found.filter("stays and not alone").select(F.col("id").alias("__near_id"), F.col("h1").alias("__near_h1"), F.col("h2").alias("__near_h2")).distinct()
+    empty = mine.filter("__near_n = 0").select(*names)
+    whole = F.struct(*names)
+    one = mine.filter("__near_n > 0").join(best, ["__near_id", "__near_h1", "__near_h2"], "left_semi")
+    one = one.groupBy("__near_id", "__near_h1", "__near_h2").agg(F.min_by(whole, F.struct(F.col(text).cast("string"), F.to_json(whole))).alias("__near_row")).select("__near_row.*")
+    return out.select(*names).unionByName(empty).unionByName(one.select(*names))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
