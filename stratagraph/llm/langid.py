@@ -10,10 +10,16 @@ decide; ties go to the smallest name.
 Fitting takes a bounded sample of labelled rows: PER_LANGUAGE documents a language, those with the smallest
 hashes of id and text. An n-gram enters a language's filter if it is found in at least MIN_DOCS of its
 sample and at a rate that is a fair share of its rate over all languages (RATE), so that stray passages
-of another language don't count. The filters have a fixed size; only they are broadcast.
-
-Null texts and texts without a letter are "und" with score 0; so are all texts if nothing was learned.
-Empty tables give no rows. Rows with a null id are predicted like others, held_out false.
+of another language don't count. No n-gram is left out: the filters' size is the power of two that holds those of the
+language with the most at about 2.6 % false positives, between LEAST and MOST positions; beyond MOST false positives
+grow, for which the popcounts are corrected. Only the filters are broadcast. They are filled from n-grams that
+stream to the driver, a partition at a time.
+
+Null texts and texts without a letter are "und" with score 0; so are all texts if nothing was learned, and
+texts whose letters' n-grams are in no language get the smallest language name with score 0. Ties go to the smallest
+name. Very long texts are looked up whole, CHUNK characters of a batch's texts (or one text) at a time. Repeated rows get
+equal predictions; in the sample they count as so many rows. Empty tables give no rows. Rows with a null id are
+predicted like others, held_out false. Columns named lang_pred, score, share and held_out are replaced.
 """
 
 from __future__ import annotations
@@ -26,16 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_arrow, mix64
+from .common import crc_mod, cut, in_arrow, mix64
 
 SIZES = (3, 4)
 PER_LANGUAGE = 1500
 MIN_DOCS = 3
 RATE = 0.5
-POSITIONS = 1 << 20
+#: Positions of a filter at least and at most, and for each of its n-grams.
+LEAST, MOST, EACH = 1 << 20, 1 << 26, 8.7
 HASHES = 3
-#: n-grams that a filter takes at most, the most frequent first: about 2.6 % false positives.
-MOST_GRAMS = 120_000
 UNDETERMINED = "und"
 #: Characters whose n-grams are in memory at once (a longer text alone).
 CHUNK = 200_000
@@ -81,24 +86,38 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    masks: np.ndarray  # uint64 by position, or (positions, words) for more than 64 languages
+    masks: np.ndarray  # (positions, bytes): a bit a language
     false_rate: np.ndarray
 
     @staticmethod
-    def positions(hashes: np.ndarray) -> list[np.ndarray]:
+    def size(grams: int) -> int:
+        """Positions for so many n-grams of the language with the most."""
+        return int(min(MOST, max(LEAST, 1 << int(np.ceil(np.log2(max(1.0, grams * EACH)))))))
+
+    def positions(self, hashes: np.ndarray) -> list[np.ndarray]:
         low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-        return [((low + np.uint64(i) * high) & np.uint64(POSITIONS - 1)).astype(np.int64) for i in range(HASHES)]
+        return [((low + np.uint64(i) * high) & np.uint64(len(self.masks) - 1)).astype(np.int64) for i in range(HASHES)]
+
+    @classmethod
+    def empty(cls, languages: list[str], positions: int = LEAST) -> LanguageFilter:
+        return cls(languages, np.zeros((positions, max(1, -(-len(languages) // 8))), np.uint8), np.zeros(len(languages)))
+
+    def add(self, language: int, grams: np.ndarray) -> None:
+        for at in self.positions(grams):
+            self.masks[at, language // 8] |= np.uint8(1 << language % 8)
+
+    def filled(self) -> LanguageFilter:
+        """Self, with false positive rates by how full each language's bits are."""
+        full = [np.count_nonzero(self.masks[:, i // 8] & np.uint8(1 << i % 8)) / len(self.masks) for i in range(len(self.languages))]
+        self.false_rate = np.array(full) ** HASHES
+        return self
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilter:
-        languages = sorted(grams)
-        words = max(1, -(-len(languages) // 8))
-        masks = np.zeros((POSITIONS, words), np.uint8)
-        for i, name in enumerate(languages):
-            for at in cls.positions(grams[name]):
-                masks[at, i // 8] |= np.uint8(1 << i % 8)
-        fill = [np.count_nonzero(masks[:, i // 8] & np.uint8(1 << i % 8)) / POSITIONS for i in range(len(languages))]
-        return cls(languages, masks, np.array(fill) ** HASHES)
+        made = cls.empty(sorted(grams), cls.size(max(map(len, grams.values()), default=0)))
+        for i, name in enumerate(made.languages):
+            made.add(i, grams[name])
+        return made.filled()
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """Corrected share of each text's n-grams in each language."""
@@ -146,7 +165,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
-        return LanguageFilter([], np.zeros((POSITIONS, 1), np.uint8), np.zeros(0))
+        return LanguageFilter.empty([])
     # about half as many again by a share of the hashes, then the smallest exactly
     keep = F.lit(False)
     turn = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
@@ -174,11 +193,22 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     highest = counts.groupBy("gram").agg(F.max("rate").alias("highest"))
     need = F.least(F.lit(MIN_DOCS), F.greatest(F.lit(1), F.floor(of[F.col("lang")] / 10)))
     counts = counts.join(highest, "gram").filter((F.col("docs") >= need) & (F.col("rate") >= RATE * F.col("highest")))
-    counts = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("docs"), "gram"))).filter(F.col("place") <= MOST_GRAMS)
-    grams: dict[str, list[int]] = {n: [] for n in totals}
-    for r in counts.select("lang", "gram").toLocalIterator():
-        grams[r["lang"]].append(r["gram"])
-    return LanguageFilter.build({n: np.array(x, np.int64).view(np.uint64) for n, x in grams.items()})
+    counts = cut(counts.select("lang", "gram"))
+    most = counts.groupBy("lang").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    made = LanguageFilter.empty(sorted(totals), LanguageFilter.size(most))
+    number = F.create_map(*[x for i, n in enumerate(made.languages) for x in (F.lit(n), F.lit(i))])
+    packed = counts.select(number[F.col("lang")].alias("lang"), "gram").transform(in_arrow, _packed, "lang int, grams binary")
+    for r in packed.toLocalIterator():
+        made.add(r["lang"], np.frombuffer(r["grams"], np.uint64))
+    return made.filled()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Raw n-grams by language, a few thousand in a row."""
+    for batch in batches:
+        languages, grams = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        own = np.unique(languages)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([grams[languages == i].astype(np.int64).tobytes() for i in own], pa.binary())], names=["lang", "grams"])
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", carry: list[str] | None = None) -> DataFrame:
