@@ -1,21 +1,28 @@
 """Dropping lines that many documents share, by probing sharded perfect-hash arrays.
 
 Lines are hashed to 128 bits: 64 for shard and slot, 64 as the fingerprint. Document counts are summed
-by hash with partial sums. Hashes found in at least ``index_min`` documents go to shards by their first
-bits; each shard's minimal perfect hash indexes two plain arrays, fingerprints and counts. Documents
-never meet other lines in a join: each batch hashes its lines again and probes the arrays; a line whose
-slot has another fingerprint is known to be rare. The arrays of several shards go to the executors as one
-broadcast of at most ``budget`` bytes; if there are more shards, the documents pass by in further
-rounds, each with the next shards, so that no count of lines exceeds memory.
+by hash with partial sums. The distinct hashes go to shards by their first bits; each shard's minimal perfect hash
+indexes two plain arrays, fingerprints and counts. Documents never meet other lines in a join: each batch hashes its
+lines again and probes the arrays; a line whose slot has another fingerprint isn't indexed, and the probed count decides
+over all others. ``index_min`` says in how many documents a hash must be found to be indexed: with 1 the index holds
+all lines; 2, the default, leaves out those of one document, most of them, which no threshold above 1 can drop.
+
+The arrays of several shards go to the executors as one broadcast of at most ``budget`` bytes. If there are more
+shards, rows are numbered and stored once; each round probes the next shards and stores only the numbers of rows and
+their dropped lines, which are joined to the rows at the end. Memory is thus bounded whatever the number of lines,
+and texts are written once whatever the number of rounds.
 
 A key is the line without white space at its ends and with A-Z in lower case; keys shorter than
-``min_chars`` are never dropped. A null or empty text is one empty line. A document's repeated line
-counts once. Other lines stay in order. Empty tables give no rows.
+``min_chars`` code points are never dropped. A null or empty text is one empty line (of which nothing is dropped at
+``min_chars`` 1). A document's repeated line counts once; repeated rows count as so many documents. Other lines stay in
+order. Very long texts are split whole; a batch of Arrow ends after a few megabytes. Columns named n_lines and n_dropped
+are replaced, others, whatever their names, are kept. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,62 +127,88 @@ class LineIndex:
         return out
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", index_min: int | None = None, shard_keys: int = SHARD_KEYS, budget: int = BUDGET) -> DataFrame:
+def probed(texts: list[str | None], index: LineIndex, min_docs: int, min_chars: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Each text's lines, and which of them these shards say to be common."""
+    split = [_lines(t) for t in texts]
+    hashed = line_hashes([x for lines in split for x in lines], min_chars)
+    common, place = (index.counts(hashed) >= min_docs) & hashed.any(axis=1), 0
+    for lines in split:
+        yield lines, common[place : place + len(lines)]
+        place += len(lines)
+
+
+def _without(batch: pa.RecordBatch, names: list[str], at: int, found: Iterator[tuple[list[bytes], np.ndarray]]) -> pa.RecordBatch:
+    """The batch's first columns with texts without the lines marked, and the numbers of lines and of dropped ones."""
+    kept, sizes, gone = [], [], []
+    for whole, (lines, mine) in zip(batch.column(at).to_pylist(), found, strict=True):
+        dropped = int(mine.sum())
+        kept.append(b"\n".join([x for x, y in zip(lines, mine.tolist(), strict=True) if not y]).decode() if dropped else whole or "")
+        sizes.append(len(lines))
+        gone.append(dropped)
+    columns = [batch.column(i) for i in range(len(names))]
+    columns[at] = pa.array(kept, pa.string())
+    return pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+
+
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", index_min: int = 2, shard_keys: int = SHARD_KEYS, budget: int = BUDGET) -> DataFrame:
     """The rows with their text without common lines, and n_lines, n_dropped, which replace columns of these names."""
-    clash = {"n_lines", "n_dropped", "_dropped"} & set(docs.columns)
-    if clash:
-        docs = docs.drop(*clash)
+    docs = docs.drop("n_lines", "n_dropped")
     spark = docs.sparkSession
-    counts = cut(line_counts(docs, text, min_chars).filter(F.col("n") >= min(min_docs, index_min or min_docs)))
+    counts = cut(line_counts(docs, text, min_chars).filter(F.col("n") >= min(min_docs, index_min)))
     total = counts.count()
     shards = max(1, -(-total // shard_keys))
     index = cut(build_shards(counts, shards)) if total else None
-    sizes = sorted(index.select("shard", F.length("data")).toLocalIterator()) if index is not None else []
     rounds: list[list[int]] = [[]]
     used = 0
-    for shard, size in sizes:
+    for shard, size in sorted(index.select("shard", F.length("data")).toLocalIterator()) if index is not None else []:
         if used + size > budget and rounds[-1]:
             rounds.append([])
             used = 0
         rounds[-1].append(shard)
         used += size
-    out = docs.withColumn("_dropped", F.lit(None).cast("binary"))
     names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_lines bigint, n_dropped bigint"
     at = names.index(text)
-    for turn, wanted in enumerate(rounds):
-        parts = {r["shard"]: bytes(r["data"]) for r in index.filter(F.col("shard").isin(wanted)).toLocalIterator()} if wanted else {}
-        shared, last = spark.sparkContext.broadcast(parts), turn == len(rounds) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            known = LineIndex(shared.value, shards)
+    def shared(wanted: list[int]):
+        return spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in index.filter(F.col("shard").isin(wanted)).toLocalIterator()} if wanted else {})
+
+    if len(rounds) == 1:
+        parts = shared(rounds[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = LineIndex(parts.value, shards)
             for batch in batches:
-                split = [_lines(t) for t in batch.column(at).to_pylist()]
-                flat = [x for lines in split for x in lines]
-                hashed = line_hashes(flat, min_chars)
-                common = (known.counts(hashed) >= min_docs) & (hashed.any(axis=1))
-                kept, sizes, gone, place = [], [], [], 0
-                for lines, before in zip(split, batch.column(len(names)).to_pylist(), strict=True):
-                    mine = common[place : place + len(lines)]
-                    place += len(lines)
-                    if before is not None:
-                        mine = mine | np.unpackbits(np.frombuffer(before, np.uint8), count=len(lines)).astype(bool)
-                    if last:
-                        dropped = int(mine.sum())
-                        kept.append(b"\n".join([x for x, y in zip(lines, mine.tolist(), strict=True) if not y]).decode() if dropped else None)
-                        sizes.append(len(lines))
-                        gone.append(dropped)
-                    else:
-                        kept.append(np.packbits(mine).tobytes())
-                columns = [batch.column(i) for i in range(len(names))]
-                if last:
-                    whole = batch.column(at).to_pylist()
-                    columns[at] = pa.array([(w or "") if k is None else k for w, k in zip(whole, kept, strict=True)], pa.string())
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())], names=[*names, "_dropped"])
-
-        out = out.select(*names, "_dropped").transform(in_arrow, run, schema + (", n_lines bigint, n_dropped bigint" if last else ", _dropped binary"))
-        if not last:
-            out = cut(out)
-    return out
+                yield _without(batch, names, at, probed(batch.column(at).to_pylist(), known, min_docs, min_chars))
+
+        return docs.transform(in_arrow, run, schema)
+
+    whole = cut(docs.withColumn("__line_row", F.monotonically_increasing_id()))  # as written once, numbers stay
+    found = [cut(_common_lines(whole.select("__line_row", text), shared(wanted), shards, min_docs, min_chars)) for wanted in rounds]
+    gone = reduce(DataFrame.unionByName, found).groupBy("__line_row").agg(F.flatten(F.collect_list("lines")).alias("__line_gone"))
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [_lines(t) for t in batch.column(at).to_pylist()]
+            marked = [np.zeros(len(lines), bool) for lines in split]
+            for mine, places in zip(marked, batch.column(len(names)).to_pylist(), strict=True):
+                mine[places or []] = True
+            yield _without(batch, names, at, zip(split, marked, strict=True))
+
+    return whole.join(gone, "__line_row", "left").select(*names, "__line_gone").transform(in_arrow, strip, schema)
+
+
+def _common_lines(rows: DataFrame, parts, shards: int, min_docs: int, min_chars: int) -> DataFrame:
+    """__line_row, lines: the places of lines that these shards say to be common, of rows that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = LineIndex(parts.value, shards)
+        for batch in batches:
+            ids, places = [], []
+            for row, (_, mine) in zip(batch.column(0).to_pylist(), probed(batch.column(1).to_pylist(), known, min_docs, min_chars), strict=True):
+                if mine.any():
+                    ids.append(row)
+                    places.append(np.flatnonzero(mine).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["__line_row", "lines"])
+
+    return rows.transform(in_arrow, run, "__line_row bigint, lines array<int>")
