@@ -18,8 +18,8 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BYTE_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Rows of an Arrow batch. Documents may be long, so that batches stay small.
-BATCH_ROWS = 512
+#: Rows of an Arrow batch and bytes after which it ends. Documents may be long, so that batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def tidy(run: Callable) -> Callable:
@@ -35,8 +35,12 @@ def tidy(run: Callable) -> Callable:
 
 
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow in small batches, for DataFrame.transform(): documents may be long."""
+    """mapInArrow in small batches, for DataFrame.transform(): documents may be long.
+
+    Sets the session's limits of Arrow batches, which Spark reads when the plan runs.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(tidy(run), schema)
 
 

@@ -6,8 +6,15 @@ long the object is, or that it is none. An object at offset 0 that fills the col
 declared type; valid objects elsewhere are carved, the outermost of nested ones first.
 
 The samples operator stores bytes losslessly as an 8-bit grey PNG, 64 samples a row, under a declared
-type that says nothing, and reads them back through sniffing and carving. Null and empty payloads are
-one row of zeros. Equal bytes give equal stored forms; nothing depends on other rows.
+type that says nothing, and reads them back through sniffing and carving: the stored object must be the one that the
+validator finds at 0, with as many rows as its structure says; the samples are then sniffed in turn, so that media
+inside a payload are carved. The feature tells what was found: the type and its correction, the chunks that were
+walked, the objects carved from the payload, and whole-number statistics of the samples.
+
+Null and empty payloads are one row of zeros. Equal bytes, as in repeated rows, give equal stored forms; nothing depends
+on other rows. Very long payloads are stored and read whole; validators walk them in place, without copies of what
+follows a hit. Null content is no object and keeps its declared type, also a null one. Other columns, whatever their
+names, aren't read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -97,14 +104,11 @@ def _jpeg(data: memoryview, at: int) -> int:
             return 0
         if kind != 0xDA:
             continue
-        rest = bytes(data[place:])
-        end = rest.find(b"\xff")
-        while 0 <= end < len(rest) - 1 and (rest[end + 1] == 0 or 0xD0 <= rest[end + 1] <= 0xD7 or rest[end + 1] == 0xFF):
-            end = rest.find(b"\xff", end + (1 if rest[end + 1] == 0xFF else 2))
-        if end < 0 or end + 1 >= len(rest):
+        mark = _MARKER.search(data, place)
+        if not mark:
             return 0
-        place += end
-        if rest[end + 1] == 0xD9:
+        place = mark.start()
+        if data[place + 1] == 0xD9:
             return place + 2 - at if frame else 0
     return 0
 
@@ -133,13 +137,13 @@ def _riff(data: memoryview, at: int) -> int:
 
 def _zip(data: memoryview, at: int) -> int:
     """Up to an end record whose directory lies within and starts with an entry."""
-    rest = bytes(data[at:])
-    end = rest.find(b"PK\x05\x06")
-    while end >= 0 and end + 22 <= len(rest):
-        size, start, note = struct.unpack_from("<IIH", rest, end + 12)
-        if start + size == end and rest[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(rest):
+    for mark in _ZIP_END.finditer(data, at):
+        end = mark.start() - at
+        if mark.start() + 22 > len(data):
+            break
+        size, start, note = struct.unpack_from("<IIH", data, mark.start() + 12)
+        if start + size == end and data[at + start : at + start + 4] == b"PK\x01\x02" and mark.start() + 22 + note <= len(data):
             return end + 22 + note
-        end = rest.find(b"PK\x05\x06", end + 4)
     return 0
 
 
@@ -149,16 +153,17 @@ def _pdf(data: memoryview, at: int) -> int:
     A revision's table lies behind the one before; a linearized file's first offset is 0. Where no offset holds, the
     last end mark before the next header counts.
     """
-    rest, end = bytes(data[at:]), 0
-    for m in _XREF.finditer(rest):
+    end = 0
+    for m in _XREF.finditer(data, at):
         place = int(m[1])
-        if place >= max(end, 1) and place < m.start() and _TABLE.match(rest, place):
-            end = m.end()
+        if place >= max(end, 1) and place < m.start() - at and _TABLE.match(data, at + place):
+            end = m.end() - at
     if not end:
-        header = rest.find(b"%PDF-", 5)
-        rest = rest if header < 0 else rest[:header]
-        last = rest.rfind(b"%%EOF")
-        end = last + 5 if last > 0 and b"startxref" in rest[:last] else 0
+        header = _PDF_HEAD.search(data, at + 5)
+        stop, begun, last = header.start() if header else len(data), _PDF_XREF.search(data, at), 0
+        for m in _PDF_END.finditer(data, begun.end(), stop) if begun else ():
+            last = m.end()
+        end = last - at if last else 0
     return end
 
 
@@ -172,6 +177,8 @@ def _table(poly: int, bits: int) -> list[int]:
     return out
 
 
+_MARKER = re.compile(rb"\xff(?![\x00\xd0-\xd7\xff])(?=[\x00-\xff])", re.DOTALL)
+_ZIP_END, _PDF_HEAD, _PDF_XREF, _PDF_END = (re.compile(x) for x in (rb"PK\x05\x06", rb"%PDF-", rb"startxref", rb"%%EOF"))
 _XREF = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
 _TABLE = re.compile(rb"\s{0,2}(?:xref|\d+\s+\d+\s+obj)\b")
 _CRC8, _CRC16 = _table(0x07, 8), _table(0x8005, 16)
@@ -298,29 +305,32 @@ def store(payload: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
 
 
-def samples(media: bytes) -> np.ndarray:
-    """The grey samples of a PNG that store() can have made, by row."""
-    place, idat, head = 8, [], b""
+def chunks(media: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(kind, data) of a PNG's chunks, whose checksums have been compared before."""
+    place = 8
     while place < len(media):
         (size,) = struct.unpack_from(">I", media, place)
-        kind, data = media[place + 4 : place + 8], media[place + 8 : place + 8 + size]
-        head = data if kind == b"IHDR" else head
-        if kind == b"IDAT":
-            idat.append(data)
+        yield media[place + 4 : place + 8], media[place + 8 : place + 8 + size]
         place += 12 + size
-    width, rows, bits, colour, *_ = struct.unpack(">IIBBBBB", head)
-    lines = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8).reshape(rows, width + 1)
+
+
+def samples(media: bytes) -> np.ndarray:
+    """The grey samples of a PNG that store() can have made, by row."""
+    found = list(chunks(media))
+    width, rows, bits, colour, *_ = struct.unpack(">IIBBBBB", found[0][1])
+    lines = np.frombuffer(zlib.decompress(b"".join(data for kind, data in found if kind == b"IDAT")), np.uint8).reshape(rows, width + 1)
     if (bits, colour) != (8, 0) or lines[:, 0].any():
         raise ValueError("only unfiltered grey samples of 8 bits are read")
     return lines[:, 1:]
 
 
-def feature(grey: np.ndarray, kind: str, corrected: bool) -> str:
-    """Size, range, mean and roughness of the samples, in whole numbers."""
+def feature(media: bytes, kind: str, corrected: bool, grey: np.ndarray, inner: list[tuple[int, int, str]]) -> str:
+    """The structure that was found, and size, range, sum, ink and roughness of the samples, in whole numbers."""
     x = grey.reshape(-1).astype(np.int32)
-    rough = int(np.abs(np.diff(x)).sum())
-    ink = int(np.count_nonzero(x))
-    return f"{kind};corrected={int(corrected)};{grey.shape[1]}x{grey.shape[0]};max={int(x.max())};sum={int(x.sum(dtype=np.int64))};ink={ink};rough={rough}"
+    walked = "+".join(f"{name.decode('latin-1')}:{len(data)}" for name, data in chunks(media))
+    carved = ",".join(f"{t}@{a}+{n}" for a, n, t in inner)
+    rough, ink = int(np.abs(np.diff(x)).sum()), int(np.count_nonzero(x))
+    return f"{kind};corrected={int(corrected)};chunks={walked};carved={len(inner)}[{carved}];{grey.shape[1]}x{grey.shape[0]};max={int(x.max())};sum={int(x.sum(dtype=np.int64))};ink={ink};rough={rough}"
 
 
 def stored_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "application/octet-stream") -> DataFrame:
@@ -347,12 +357,13 @@ def read_samples(stored: DataFrame, key: str = "doc_id") -> DataFrame:
         out = {"key": batch.column(0), "n_bytes": batch.column(3)} | {n: [] for n in names}
         for data, said in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             media = data.as_py()
-            kind, _ = sniff(media, said)
-            if kind != "image/png":
-                raise ValueError("the stored form isn't an image")
+            whole = next(objects(media), (0, 0, ""))
+            if whole != (0, len(media), "image/png"):
+                raise ValueError("the stored form isn't one whole image")
             grey = samples(media)
             payload = grey.tobytes()
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(grey, kind, kind != said), kind)
+            inner = list(objects(payload))
+            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(media, whole[2], whole[2] != said, grey, inner), whole[2])
             for n, v in zip(names, values, strict=True):
                 out[n].append(v)
         return out

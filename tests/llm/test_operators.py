@@ -117,7 +117,7 @@ def test_language_filter_bits_are_those_of_single_filters():
     rng = np.random.default_rng(5)
     grams = {f"l{i:02d}": rng.integers(0, 2**64, 2000, dtype=np.uint64) for i in range(11)}
     made = langid.LanguageFilter.build(grams)
-    assert made.masks.shape == (langid.POSITIONS, 2)
+    assert made.masks.shape == (langid.LEAST, 2)
     for i, name in enumerate(made.languages):
         at = made.positions(grams[name])
         assert all((made.masks[p, i // 8] >> (i % 8) & 1).all() for p in at)
@@ -175,6 +175,31 @@ def test_near_duplicates_odd_rows(spark, docs, empty):
     assert kept.columns == docs.columns and kept.filter("doc_id = 5").count() == 1 and kept.filter("doc_id in (1003, 1004)").count() == 1
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """No text is lost that is near no other; each group keeps one row."""
+    near = " ".join(f"n{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    table = [(7, near, 1), (7, "totally other words that are near nothing at all", 2), (8, near + " end", 3), (9, other, 4), (9, other, 4), (9, other.upper(), 5), (10, other + " end", 6), (11, "", 7), (11, "", 8), (11, other + " stop", 9), (None, near, 10), (12, "only one", 11)]
+    frame = spark.createDataFrame(table, "doc_id bigint, text string, n int").withColumns({"id": F.lit(1), "rep": F.lit(2), "h1": F.lit(3)}).repartition(3)
+    got = collections.Counter((r.doc_id, r.n) for r in neardup.keep_first(frame).collect())
+    # of 9's equal sets the smallest text stays, which is the one in upper case; 11's empty rows stay, its other text goes
+    assert got == collections.Counter([(7, 1), (7, 2), (9, 5), (11, 7), (11, 8), (None, 10), (12, 11)])
+    found = collections.Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(frame).collect())
+    assert found == collections.Counter([(7, 7), (7, 7), (8, 7), (9, 9), (9, 9), (9, 9), (10, 9), (11, 11), (11, 11), (11, 9), (None, None), (12, 12)])
+
+
+def test_sets_that_may_reach_the_threshold():
+    """No pair that is similar is ever left out before its full sets meet."""
+    rng = np.random.default_rng(29)
+    for _ in range(3000):
+        pool = rng.choice(200, rng.integers(1, 40), replace=False).astype(np.uint64)
+        one, two = (np.sort(rng.choice(pool, rng.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
+        shared = len(np.intersect1d(one, two))
+        if neardup.similar(shared, len(one), len(two), 80):
+            assert neardup.may_reach(one, two, 80)
+    assert not neardup.may_reach(np.arange(5, dtype=np.uint64), np.arange(9, 14, dtype=np.uint64), 80)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a bigint, b bigint")
     got = {r.node: r.component for r in neardup.components(links).collect()}
@@ -210,7 +235,7 @@ def test_piece_digests(docs, empty):
 # 5
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_keys": 3, "budget": 200}])
+@pytest.mark.parametrize("limits", [{}, {"shard_keys": 3, "budget": 200}, {"index_min": 1, "shard_keys": 50, "budget": 900}])
 def test_common_lines_match_brute_force(docs, limits):
     space = " \t\n\x0b\x0c\r"
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -341,11 +366,30 @@ def test_pooling_is_isotonic():
 # 9
 
 
-def test_targets_stop_at_three_times_the_size():
-    assert mixing.targets([10, 10, 10], [1, 2, 3], 3) == pytest.approx([5, 10, 15])
-    got = mixing.targets([100, 1, 10], [1, 2, 3], 3)
-    assert got[1:] == [3, 30] and sum(got) == pytest.approx(111)
-    assert mixing.targets([0, 5], [1, 2], 3) == pytest.approx([0, 5])
+def shared_out(sizes, weights, most):
+    """Targets in plain Python: the excess of full sources goes to the others by weight, until none is above."""
+    full, out = set(), [0.0] * len(sizes)
+    while True:
+        rest = sum(sizes) - sum(most * sizes[i] for i in full)
+        some = [i for i in range(len(sizes)) if i not in full]
+        for i in some:
+            out[i] = rest * weights[i] / sum(weights[j] for j in some)
+        above = {i for i in some if out[i] > most * sizes[i]}
+        for i in above:
+            out[i] = most * sizes[i]
+        full |= above
+        if not above:
+            return out
+
+
+def test_targets_stop_at_three_times_the_size(spark):
+    assert shared_out([100, 1, 10], [1, 2, 3], 3) == pytest.approx([78, 3, 30])
+    for sizes in ([10, 10, 10], [100, 1, 10], [0, 5], [5, 0, 0, 0, 90, 1, 2], [0, 0], [7] * 9):
+        rows = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "__mix_source string, size bigint")
+        got = {r["__mix_source"]: (r.source_size, r.target) for r in mixing.source_table(rows, mixing.WEIGHTS, 3.0).collect()}
+        want = shared_out(sizes, [(1, 2, 3)[i % 3] for i in range(len(sizes))], 3)
+        assert {s: n for s, (n, _) in got.items()} == {f"s{i}": n for i, n in enumerate(sizes)}
+        assert [got[f"s{i}"][1] for i in range(len(sizes))] == pytest.approx(want)
 
 
 def test_mix(docs, empty):
@@ -358,7 +402,7 @@ def test_mix(docs, empty):
         by[r.source].append(r)
     names = sorted((s for s in by if s is not None)) + [None]
     sizes = [sum(r.size for r in by[s]) for s in names]
-    want = mixing.targets(sizes, [(1, 2, 3)[i % 3] for i in range(len(names))], 3)
+    want = shared_out(sizes, [(1, 2, 3)[i % 3] for i in range(len(names))], 3)
     for s, size, target in zip(names, sizes, want, strict=True):
         assert {r.source_size for r in by[s]} == {size} and all(r.target == pytest.approx(target) for r in by[s])
         taken, longest = sum(r.size * r.copies for r in by[s]), max(r.size for r in by[s])
@@ -371,6 +415,37 @@ def test_mix(docs, empty):
     assert out.count() == sum(r.copies for r in got)
 
 
+def test_mix_matches_brute_force(spark):
+    """Copies row by row: sort, whole copies of long documents, one offset, prefix sums."""
+    rng = random.Random(23)
+    table = [(i, "w " * rng.choice([0, 3, 20, 40, 41, 300]) + "x", f"s{rng.randrange(5)}") for i in range(700)]
+    table += [(700 + i, "long " * 4000, "s1") for i in range(3)] + [(710, "word " * 9000, "s4"), (711, None, "empty"), (712, " ", "empty"), (713, "a b", None), (714, "a b", None)]
+    frame = spark.createDataFrame(table, "doc_id bigint, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in mixing.mix(frame, carry=["doc_id"]).collect()}
+    facts = frame.select("doc_id", F.xxhash64(F.lit(0), "doc_id", "text").alias("turn"), F.xxhash64(F.lit(0), F.coalesce("source", F.lit("\0null"))).alias("draw")).collect()
+    turn, draw = {r.doc_id: r.turn for r in facts}, {r.doc_id: (r.draw % (1 << 30)) / (1 << 30) for r in facts}
+    by = collections.defaultdict(list)
+    for i, text, source in table:
+        by[source].append((len(WORD.findall(text or "")), turn[i], i))
+    names = sorted(s for s in by if s is not None) + [None]
+    sums = [sum(n for n, _, _ in by[s]) for s in names]
+    for s, total, target in zip(names, sums, shared_out(sums, [(1, 2, 3)[i % 3] for i in range(len(names))], 3), strict=True):
+        own = sorted(by[s])
+        longs = [x for x in own if x[0] * 200 > target and x[0] * 2000 > total]
+        rate, left, want = target / total if total else 1.0, 0.0, {}
+        for n, _, i in sorted(longs, reverse=True):
+            asked = left + rate * n
+            want[i] = max(0, min(3, int(asked / n + 0.5) if asked > 0 else 0))
+            left = asked - want[i] * n
+        others = total - sum(n for n, _, _ in longs)
+        share = max(0.0, min(3.0, (rate * others + left) / others)) if others else rate
+        for k, (_, _, i) in enumerate(x for x in own if x not in longs):
+            want[i] = int(draw[i] + (k + 1) * share) - int(draw[i] + k * share)
+        assert {i: got[i].copies for i in want} == want, s
+        if s not in ("empty", None):
+            assert abs(sum(n * want[i] for n, _, i in own) - target) < 0.02 * target
+
+
 # 10
 
 
