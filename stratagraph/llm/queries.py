@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, media, mixing, neardup, piece, quality_model, quality_rules, tokenbin, warc
+from . import langid, linededup, media, mixing, neardup, piece, quality_model, quality_rules, stages, tokenbin, warc
 from .common import table
 
 
@@ -56,9 +56,7 @@ def op10_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

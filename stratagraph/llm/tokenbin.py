@@ -8,16 +8,20 @@ hold documents in ascending order. A shard is one file of bounded size::
     repeats        n x uint32: how many earlier rows of the shard's run have the same key
     perfect hash   over mixed (key, repeat)
     fingerprints   n x uint32, by slot
+    documents      n x uint32, by slot: the document's place in keys and repeats
     offsets        n x uint64, by slot: ids of the shard before the document
     lengths        n x uint32, by slot
     payload        t raw little-endian ids
 
-A lookup hashes the key to its slot, compares the stored fingerprint (and the key, which the slot's
-document number names), and slices the payload: constant time, no search. Shards are named by partition
+A lookup hashes the key to its slot, compares the stored fingerprint, then the key itself, which the slot's
+document number names, and slices the payload: constant time, no search. Shards are named by partition
 and number; a task that runs again writes the same files under its own names and renames them.
 
-Null and empty texts hold the end id only. Null keys come first. Rows with equal keys keep their order by
-text, and each has its own entry.
+Null and empty texts hold the end id only. Null keys come first. Rows with equal keys are ordered by a hash of their
+text, and each has its own entry; where one key's rows (or those without one) are many they fill several partitions, in
+each of which they are numbered from 0. Keys are
+whole numbers (others raise an error when they can't be cast). Very long texts are encoded whole, a batch of Arrow
+ending after a few megabytes. Other columns, whatever their names, aren't read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -192,7 +196,7 @@ class Shard:
         self.keys, self.repeats = take("<i8", n), take("<u4", n)
         self.nulls = take("u1", n).astype(bool)
         self.hash = PerfectHash.from_bytes(take("u1", size).tobytes())
-        self.fingerprints, self.offsets, self.lengths = take("<u4", n), take("<u8", n), take("<u4", n)
+        self.fingerprints, self.documents, self.offsets, self.lengths = take("<u4", n), take("<u4", n), take("<u8", n), take("<u4", n)
         self.ids = take(f"<u{width}", total)
 
     @staticmethod
@@ -205,20 +209,31 @@ class Shard:
         made = PerfectHash.build(hashed)
         slots = made.slots(hashed)
         lengths = np.array([len(p) // kind.itemsize for p in payloads], np.int64)
-        by_slot = {"prints": np.zeros(n, "<u4"), "offsets": np.zeros(n, "<u8"), "lengths": np.zeros(n, "<u4")}
+        by_slot = {"prints": np.zeros(n, "<u4"), "documents": np.zeros(n, "<u4"), "offsets": np.zeros(n, "<u8"), "lengths": np.zeros(n, "<u4")}
         by_slot["prints"][slots] = (hashed >> np.uint64(32)).astype(np.uint32)
+        by_slot["documents"][slots] = np.arange(n)
         by_slot["offsets"][slots] = np.cumsum(lengths) - lengths
         by_slot["lengths"][slots] = lengths
         index = made.to_bytes()
         head = struct.pack("<8sQQII", MAGIC, n, int(lengths.sum()), kind.itemsize, len(index))
-        return b"".join([head, numbers.tobytes(), again.tobytes(), nulls.tobytes(), index, *(by_slot[k].tobytes() for k in ("prints", "offsets", "lengths")), *payloads])
+        return b"".join([head, numbers.tobytes(), again.tobytes(), nulls.tobytes(), index, *(by_slot[k].tobytes() for k in ("prints", "documents", "offsets", "lengths")), *payloads])
+
+    def first_repeats(self, keys: np.ndarray) -> np.ndarray:
+        """The number with which each key's rows begin in this shard (a key's run may have begun in one before)."""
+        start = int(self.nulls.sum())
+        at = start + np.searchsorted(self.keys[start:], keys, "left")
+        at[at >= self.n] = 0
+        return np.where(self.keys[at] == keys, self.repeats[at], 0).astype(np.uint32) if self.n else np.zeros(len(keys), np.uint32)
 
     def find(self, keys: np.ndarray, repeats: np.ndarray, nulls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Offset and length for each key; -1 where the shard hasn't the key."""
-        hashed = _hashed(keys, repeats) ^ (0 if nulls is None else nulls).astype(np.uint64) if nulls is not None else _hashed(keys, repeats)
+        nulls = np.zeros(len(keys), bool) if nulls is None else nulls
+        hashed = _hashed(keys, repeats) ^ nulls.astype(np.uint64)
         slots = self.hash.slots(hashed)
         known = slots >= 0
         known[known] = self.fingerprints[slots[known]] == (hashed[known] >> np.uint64(32)).astype(np.uint32)
+        document = self.documents[slots[known]]
+        known[known] = (self.keys[document] == keys[known]) & (self.repeats[document] == repeats[known]) & (self.nulls[document] == nulls[known])
         offsets, lengths = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
         offsets[known], lengths[known] = self.offsets[slots[known]], self.lengths[slots[known]]
         return offsets, lengths
@@ -230,7 +245,10 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    # rows of one key, or without one, may fill several partitions: they are parted by text, equal ones by their place
+    rows = rows.select("*", F.xxhash64("text").alias("turn"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("key").asc_nulls_first(), F.col("turn"), F.col("place")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -309,29 +327,55 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, key: str
 
 
 def lookup(spark: SparkSession, folder: str, manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, ids of the wanted keys: routed to shards by their key ranges, then found through the index.
+    """key, repeat, ids of the wanted keys (a repeated key has a row for each of its rows; null keys are never asked for).
 
-    Each key goes to the shards whose range holds it (two at most unless a key fills whole shards).
+    Keys are routed by the first keys of the shards, sorted and broadcast (some 16 bytes a shard), with a binary search:
+    no range join, whatever the number of shards. A key that many rows have spans several shards and goes to each of
+    them. Routed keys are dealt out by shard in parts of bounded size, so that a shard that is asked for often is read by
+    several tasks, and a task opens the shards that it is asked for, and no others.
     """
-    spans = F.broadcast(manifest) if manifest.count() <= 50_000 else manifest
-    wanted = keys.select(F.col(key).cast("bigint").alias("key")).distinct()
-    routed = wanted.join(spans, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key")))
-    routed = routed.groupBy("shard").agg(F.collect_list("key").alias("keys"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder)
-    files = files.select(F.regexp_extract("path", r"(ids-\d+-\d+\.bin)$", 1).alias("shard"), "content")
+    spans = manifest.select("shard", "first_key", "last_key").collect()
+    spans = sorted((r["first_key"] if r["first_key"] is not None else NULL_KEY, r["last_key"] if r["last_key"] is not None else NULL_KEY, r["shard"]) for r in spans)
+    shared = spark.sparkContext.broadcast((np.array([a for a, _, _ in spans], np.int64), np.array([b for _, b, _ in spans], np.int64), [n for _, _, n in spans]))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, names = shared.value
+        for batch in batches:
+            asked = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            low, high = np.searchsorted(last, asked, "left"), np.searchsorted(first, asked, "right")
+            count = np.maximum(high - low, 0)
+            at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.string()), pa.array(np.repeat(asked, count))], names=["shard", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        name, shard = None, None
         for batch in batches:
-            for content, asked in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                shard, found, ids = Shard(content.as_py()), [], []
-                offsets, lengths = shard.find(np.array(asked, np.int64), np.zeros(len(asked), np.uint32))
-                for k, a, n in zip(asked, offsets.tolist(), lengths.tolist(), strict=True):
-                    if a >= 0:
-                        found.append(k)
-                        ids.append(shard.ids[a : a + n].astype(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=[key, "ids"])
-
-    return files.join(routed, "shard").select("content", "keys").transform(in_arrow, run, f"{key} bigint, ids array<bigint>")
+            names, asked = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if names[a] != name:
+                    name = names[a]
+                    with files.open_input_stream(f"{root}/{name}") as content:
+                        shard = Shard(content.read())
+                found, repeats, ids = [], [], []
+                rest, again = asked[a:b].astype(np.int64), shard.first_repeats(asked[a:b].astype(np.int64))
+                while len(rest):  # repeats of a key follow one another
+                    offsets, lengths = shard.find(rest, again)
+                    some = offsets >= 0
+                    rest, again, offsets, lengths = rest[some], again[some], offsets[some], lengths[some]
+                    found += rest.tolist()
+                    repeats += again.tolist()
+                    ids += [shard.ids[x : x + n].astype(np.int64) for x, n in zip(offsets.tolist(), lengths.tolist(), strict=True)]
+                    again = again + np.uint32(1)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(repeats, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=[key, "repeat", "ids"])
+
+    wanted = keys.select(F.col(key).cast("bigint").alias("key")).filter("key is not null").distinct()
+    routed = wanted.transform(in_arrow, route, "shard string, key bigint")
+    routed = routed.repartition(F.col("shard"), F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("shard", "key")
+    return routed.transform(in_arrow, run, f"{key} bigint, repeat bigint, ids array<bigint>")
 
 
 def id_files(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,16 +4,23 @@ An ARC file begins with a version block. Its second line says the version, its t
 header lines: version 1 has URL, address, date, type and length; version 2 adds status, checksum,
 location, offset and file name. A record is a header line, as many bytes as it declares, and a line
 feed. The converter takes each record as far as its declared length, whatever the bytes are, and makes
-a WARC record of it: an identifier that is a name-based UUID of address, date and offset, the date in
-ISO form, a type (response if the bytes begin with an HTTP status line, else resource; the version block
-becomes warcinfo) and SHA-1 digests of block and payload. Where it is told that another record holds
-the same payload, the record becomes a revisit: its block keeps the HTTP header alone.
+a WARC record of it: an identifier that is a name-based UUID of address, date and the record's place (file and
+offset, or a name that the caller gives), the date in ISO form, a type (response if the bytes begin with an HTTP
+status line, else resource; the version block becomes warcinfo) and SHA-1 digests of block and payload. Where it is
+told that another record holds the same payload, the record becomes a revisit that refers to that record's identifier,
+address and date; its block keeps the HTTP header alone.
 
 The pages operator writes pages as ARC, converts them and writes WARC files of bounded size, one member
-a record, into the shared folder, then reads the files back. Tasks write under a name of their own and
-rename at the end, so that a task that is run again replaces its files. Null html is an empty payload.
-Rows with the smallest page_id of a payload are responses, also if that id is repeated; null ids count
-as larger than all others. A null or odd url is percent-encoded. An empty table gives no rows.
+a record, into the shared folder, then reads the files back. A page's record is named by its id and payload, so that
+reruns and other partitionings give the same identifiers. Tasks write under a name of their own and
+rename at the end, so that a task that is run again replaces its files. Payload digests that several pages have are
+found from digests alone, with partial sums; only they are joined to the pages, broadcast up to BROADCAST_DIGESTS of
+them and shuffled beyond.
+
+Null html is an empty payload. Rows with the smallest page_id of a payload are responses, also if that id is repeated
+(rows repeated exactly are the same capture under one identifier); null ids count as larger than all others. A null or
+odd url is percent-encoded. Very long payloads are written and read whole. Other columns, whatever their names, aren't
+read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch, fresh_dir, in_arrow
+from .common import cut, fresh_dir, in_arrow
 
 #: Uncompressed bytes after which a new file begins.
 ROTATE = 24 << 20
@@ -43,6 +50,10 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 DATE = "20240101000000"
+#: Repeated digests up to which they are broadcast (about 60 MB in a task); beyond, it is a shuffled join.
+BROADCAST_DIGESTS = 300_000
+#: A field of our own in revisits: the page whose record they refer to.
+PAGE_FIELD = "X-Refers-To-Page"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -134,35 +145,47 @@ def _identifier(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, parts)))}>"
 
 
-def convert(record: ArcRecord, name: str, refers_to: str | None = None) -> bytes:
-    """A WARC record. refers_to: the address of a response with the same payload, which this then revisits."""
+@dataclass(frozen=True)
+class Original:
+    """The record that a revisit refers to."""
+
+    identifier: str
+    url: str
+    date: str
+    page: str = ""
+
+
+def convert(record: ArcRecord, name: str, original: Original | None = None, place: str | None = None) -> bytes:
+    """A WARC record. original: the response with the same payload, which this then revisits. place: names the record in its identifier."""
     url = record.fields["URL"]
     split = None if record.first else _http(record.block)
     payload = split[1] if split else record.block
     digest = f"sha1:{base32_sha1(payload)}"
     if record.first:
         kind, block, mime = "warcinfo", f"software: stratagraph\r\nformat: WARC File Format 1.1\r\nconverted-from: {name} ARC/{record.version}\r\n".encode(), "application/warc-fields"
-    elif refers_to is not None:
+    elif original is not None:
         kind, block, mime = "revisit", split[0] if split else b"", "application/http;msgtype=response"
     elif split:
         kind, block, mime = "response", record.block, "application/http;msgtype=response"
     else:
         kind, block, mime = "resource", record.block, record.fields["Content-type"]
-    lines = {"WARC-Type": kind, "WARC-Record-ID": _identifier(url, record.fields["Archive-date"], name, record.offset), "WARC-Date": _stamp(record.fields["Archive-date"])}
+    lines = {"WARC-Type": kind, "WARC-Record-ID": _identifier(url, record.fields["Archive-date"], place or f"{name} {record.offset}"), "WARC-Date": _stamp(record.fields["Archive-date"])}
     if record.first:
         lines["WARC-Filename"] = name
     else:
         lines |= {"WARC-Target-URI": url, "WARC-IP-Address": record.fields["IP-address"], "WARC-Payload-Digest": digest}
     if kind == "revisit":
-        lines |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Target-URI": refers_to}
+        lines |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": original.identifier, "WARC-Refers-To-Target-URI": original.url, "WARC-Refers-To-Date": _stamp(original.date)}
+        if original.page:
+            lines[PAGE_FIELD] = original.page
     lines |= {"WARC-Block-Digest": f"sha1:{base32_sha1(block)}", "Content-Type": mime, "Content-Length": str(len(block))}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def arc_to_warc(data: bytes, name: str, refers_to: dict[int, str] | None = None) -> Iterator[bytes]:
-    """WARC records of an ARC file. refers_to: by a record's number, from 0 after the version block."""
+def arc_to_warc(data: bytes, name: str, originals: dict[int, Original] | None = None, places: list[str] | None = None) -> Iterator[bytes]:
+    """WARC records of an ARC file. originals, places: by a record's number, from 0 after the version block."""
     for i, record in enumerate(parse_arc(data), -1):
-        yield convert(record, name, (refers_to or {}).get(i))
+        yield convert(record, name, (originals or {}).get(i), places[i] if places and i >= 0 else None)
 
 
 def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
@@ -204,16 +227,24 @@ def base32_column(hexadecimal: Column) -> Column:
 
 
 def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, first_id: the smallest page_id with an equal payload of at least min_bytes.
+    """page_id, url, payload, digest, first_id, first_url: the smallest page_id with an equal payload of at least min_bytes.
 
-    Counted by digest with partial sums before the join, in which Spark may split a hot digest.
+    first_id and first_url are null where no other row has the payload.
     """
-    rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    own = pages.select("page_id", F.sha1(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).alias("digest"))
-    first = own.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    out = rows.join(first, "digest")
-    return out.withColumn("first_id", F.when(F.length("payload") >= min_bytes, F.col("first_id"))).drop("digest")
+    body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.sha1(body).alias("digest"), F.length(body).alias("size"))
+    first = own.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"), F.count("*").alias("n"), F.max("size").alias("size"))
+    first = cut(first.filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url")))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
+    return rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "digest", "left").select("page_id", "url", "payload", "digest", "first_id", "first_url")
+
+
+def _address(url: str | None) -> str:
+    return urllib.parse.quote(url or "about:blank", safe="!#$%&'()*+,/:;=?@[]~")
+
+
+def _place(page: object, digest: str) -> str:
+    return f"page {page} {digest}"
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -241,16 +272,17 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             pack, size, records, number = [], 0, 0, number + 1
 
         for turn, batch in enumerate(batches):
-            legacy, first = [], {}
-            for i, (page, url, payload, first_id) in enumerate(zip(*(batch.column(k) for k in range(4)), strict=True)):
-                page, body, first_id = page.as_py(), payload.as_py(), first_id.as_py()
+            legacy, first, places = [], {}, []
+            for i, (page, url, payload, digest, first_id, first_url) in enumerate(zip(*(batch.column(k) for k in range(6)), strict=True)):
+                page, body, digest, first_id = page.as_py(), payload.as_py(), digest.as_py(), first_id.as_py()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                where = urllib.parse.quote(url.as_py() or "about:blank", safe="!#$%&'()*+,/:;=?@[]~")
-                legacy.append(({"URL": where}, head + body))
+                legacy.append(({"URL": _address(url.as_py())}, head + body))
+                places.append(_place(page, digest))
                 if first_id is not None and page != first_id:
-                    first[i] = f"urn:page:{first_id}"
+                    there = _address(first_url.as_py())
+                    first[i] = Original(_identifier(there, DATE, _place(first_id, digest)), there, DATE, str(first_id))
             source = f"part-{part:06d}-{turn:06d}.arc"
-            for record in arc_to_warc(arc_file(legacy, 1 + part % 2, source), source, first):
+            for record in arc_to_warc(arc_file(legacy, 1 + part % 2, source), source, first, places):
                 pack.append(zlib.compress(record, 1, 31))
                 records += 1
                 size += len(record)
@@ -260,7 +292,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["path", "records", "bytes"])
 
-    return rows.select("page_id", "url", "payload", "first_id").transform(in_arrow, run, "path string, records bigint, bytes bigint")
+    return rows.select("page_id", "url", "payload", "digest", "first_id", "first_url").transform(in_arrow, run, "path string, records bigint, bytes bigint")
 
 
 def read_archives(files: DataFrame, kind: T.DataType) -> DataFrame:
@@ -275,7 +307,7 @@ def read_archives(files: DataFrame, kind: T.DataType) -> DataFrame:
                     if record.type not in ("response", "revisit"):
                         continue
                     size = len(record.payload) if record.type == "response" else int(record.http["content-length"])
-                    refers = record.headers.get("WARC-Refers-To-Target-URI", "").removeprefix("urn:page:")
+                    refers = record.headers.get(PAGE_FIELD, "")
                     values = (record.http["x-page-id"] or None, size, record.headers["WARC-Payload-Digest"].removeprefix("sha1:"), record.type, refers or None, record.headers["WARC-Date"], record.headers["WARC-Record-ID"], record.headers["WARC-Target-URI"])
                     for n, v in zip(names, values, strict=True):
                         out[n].append(v)

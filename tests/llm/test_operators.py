@@ -70,11 +70,12 @@ def test_arc_lengths_rule_and_warc_fields(version):
     data = warc.arc_file([({"URL": "http://a/", "Archive-date": "20010203040506"}, odd), ({"URL": "http://b/", "Content-type": "image/gif"}, b"")], version, "f.arc")
     found = list(warc.parse_arc(data))
     assert [r.block for r in found[1:]] == [odd, b""] and found[0].first and {r.version for r in found} == {version}
-    made = [warc.parse_warc(x) for x in warc.arc_to_warc(data, "f.arc", {1: "urn:page:1"})]
+    made = [warc.parse_warc(x) for x in warc.arc_to_warc(data, "f.arc", {1: warc.Original("<urn:uuid:1>", "http://a/", "20010203040506")})]
     assert [r.type for r in made] == ["warcinfo", "response", "revisit"]
     assert made[1].headers["WARC-Date"] == "2001-02-03T04:05:06Z" and made[1].payload == odd.split(b"\r\n\r\n", 1)[1]
     assert made[1].headers["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(made[1].payload).digest()).decode()
     assert len({r.headers["WARC-Record-ID"] for r in made}) == 3
+    assert [made[2].headers[f"WARC-Refers-To{x}"] for x in ("", "-Target-URI", "-Date")] == ["<urn:uuid:1>", "http://a/", "2001-02-03T04:05:06Z"]
     assert [r.type for r in map(warc.parse_warc, warc.arc_to_warc(data, "f.arc"))][2] == "resource"
     for broken in (data[:-2], data.replace(b"filedesc", b"file"), data.replace(b" 0 strata", b" 0 strata", 1)[:40]):
         with pytest.raises(ValueError):
@@ -99,6 +100,58 @@ def test_pages_round_trip(spark):
     assert small.count() == 0
 
 
+def test_archives_refer_to_records_and_are_the_same_again(spark):
+    table = [(3, "http://a b/", "x"), (1, "http://c/", "x"), (2, "u", None), (4, "v", ""), (5, "w", "z")]
+    frame = spark.createDataFrame(table, "page_id bigint, url string, html string")
+    made = []
+    for parts in (1, 4):
+        folder = warc.fresh_dir(spark, "warc")
+        warc.write_archives(warc.with_first(frame.repartition(parts)), folder).collect()
+        found = []
+        for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).collect():
+            found += [warc.parse_warc(x) for x in warc.members(bytes(r.content))]
+        made.append({r.http["x-page-id"]: r.headers for r in found if r.type != "warcinfo"})
+    ids = [{k: (h["WARC-Record-ID"], h.get("WARC-Refers-To")) for k, h in x.items()} for x in made]
+    assert ids[0] == ids[1] and len({i for i, _ in ids[0].values()}) == 5
+    assert ids[0]["3"][1] == ids[0]["1"][0] and ids[0]["4"][1] == ids[0]["2"][0] and ids[0]["5"][1] is None
+    assert made[0]["3"]["WARC-Refers-To-Target-URI"] == "http://c/" and made[0]["3"]["WARC-Target-URI"] == "http://a%20b/"
+
+
+def test_members_are_read_in_slices():
+    """A member costs the same in a file ten times as long, whatever slice its end falls into."""
+    parts = [bytes([i % 251]) * (i * 37 % 900) for i in range(400)]
+    data = b"".join(zlib.compress(x, 1, 31) for x in parts)
+    for step in (1, 7, 64, 1 << 16):
+        assert list(warc.members(data, step)) == parts
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-3]))
+
+    fed = []
+    real = zlib.decompressobj
+
+    class Fed:
+        def __init__(self, *a):
+            self.own = real(*a)
+
+        def decompress(self, piece):
+            fed.append(len(piece))
+            return self.own.decompress(piece)
+
+        eof = property(lambda self: self.own.eof)
+        unused_data = property(lambda self: self.own.unused_data)
+
+    warc.zlib.decompressobj = Fed
+    try:
+        costs = []
+        for times in (1, 10):
+            fed.clear()
+            n = sum(1 for _ in warc.members(data * times, 512))
+            costs.append(sum(fed) / n)
+    finally:
+        warc.zlib.decompressobj = real
+    assert costs[1] < costs[0] * 1.1
+
+
 # 2
 
 
@@ -287,8 +340,35 @@ def test_id_files(spark, docs, empty, monkeypatch):
     assert tokenbin.id_files(empty).count() == 0
     folder = tokenbin.fresh_dir(spark, "t")
     manifest = tokenbin.cut(tokenbin.write_shards(docs, folder))
-    asked = spark.createDataFrame([(3,), (1006,), (77777,)], "doc_id bigint")
-    assert {r.doc_id: r.ids for r in tokenbin.lookup(spark, folder, manifest, asked).collect()} == {i: ids[i] for i in (3, 1006)}
+    asked = spark.createDataFrame([(3,), (1006,), (77777,), (5,), (None,), (-4,)], "doc_id bigint")
+    got = tokenbin.lookup(spark, folder, manifest, asked)
+    assert sorted((r.doc_id, r.repeat, r.ids) for r in got.collect()) == [(3, 0, ids[3]), (5, 0, ids[5]), (5, 1, ids[5]), (1006, 0, ids[1006])]
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_lookup_of_a_key_that_spans_shards(spark):
+    """Rows of one key in several shards are all found."""
+    kind = np.dtype("<u2")
+    folder = tokenbin.fresh_dir(spark, "t")
+    files, root = tokenbin.pyarrow.fs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    packs = [([1, 7, 7], [0, 0, 1]), ([7, 7], [2, 3]), ([7, 9], [4, 0])]
+    spans = []
+    for n, (keys, repeats) in enumerate(packs):
+        with files.open_output_stream(f"{root}/ids-000000-{n:05d}.bin") as out:
+            out.write(tokenbin.Shard.write(keys, repeats, [np.array([k, r], kind).tobytes() for k, r in zip(keys, repeats)], kind))
+        spans.append((f"ids-000000-{n:05d}.bin", keys[0], keys[-1]))
+    manifest = spark.createDataFrame(spans, "shard string, first_key bigint, last_key bigint")
+    got = tokenbin.lookup(spark, folder, manifest, spark.createDataFrame([(7,), (9,), (8,)], "doc_id bigint")).collect()
+    assert sorted((r.doc_id, r.repeat, r.ids) for r in got) == [(7, i, [7, i]) for i in range(5)] + [(9, 0, [9, 0])]
+
+
+def test_a_wrong_key_with_an_equal_fingerprint_is_not_found():
+    kind = np.dtype("<u2")
+    shard = tokenbin.Shard(tokenbin.Shard.write([4, 6], [0, 0], [b"\1\0", b"\2\0"], kind))
+    shard.fingerprints = np.full(2, (tokenbin._hashed(np.array([5]), np.array([0]))[0] >> np.uint64(32)).astype(np.uint32))
+    assert (shard.find(np.array([5]), np.zeros(1, np.uint32))[0] < 0).all()
 
 
 def test_shard_finds_each_key_and_no_other():
