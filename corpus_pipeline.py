@@ -1,58 +1,13 @@
-"""A training corpus from the documents table: STAGES, one after another, each written and read again.
+"""The corpus pipeline: STAGES over the documents table, in this order, each written as Parquet and read again by the next.
 
-language: documents without a language go. lines: lines found in many documents go. near: of each
-group of near-duplicates one document stays. mix: documents are taken towards the sources' targets, so that a
-row may appear up to three times or not at all. pieces: every row's token ids, decoded again.
-
-All stages but the last return the columns of documents.
+The stages themselves, with what they do with nulls, ties, repeated and very long rows, are in stratagraph.llm.stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from stratagraph.llm import langid, linededup, mixing, neardup, piece
-from stratagraph.llm.common import fresh_dir, table
-
-#: A text's n-grams in its best language, corrected, below which it is in none of the known languages.
-MIN_SHARE = 0.2
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs)
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("share") >= MIN_SHARE)).select(*docs.columns)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.drop_common_lines(docs, min_docs=10, min_chars=1)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_first(docs, words=5, percent=80)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emitted(mixing.mix(docs), docs.columns)
-
-
-def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece.round_trip_digests(docs)
-
-
-STAGES = [("language", language), ("lines", lines), ("near", near), ("mix", mix), ("pieces", pieces)]
+from stratagraph.llm.stages import STAGES, run
 
 #: The stages learn filters, link sets and encode with a library's model, which SQL can't express.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = fresh_dir(spark, "pipeline")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
