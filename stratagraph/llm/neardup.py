@@ -11,11 +11,9 @@ similarity 0.8 miss all bands with a probability of 5e-8.
 2. In each bucket of a band every class is compared with the bucket's smallest: a star, not all pairs.
    Full sets confirm, by native array_intersect; links give components by alternating star contraction.
 3. Buckets that still hold several components are compared block by block: a task has two blocks of a
-   bucket, looks only at pairs of different components, each in the first band that it shares, those with most
-   equal signature values first, and confirms them on full sets until they are joined. Pairs that can't reach the
-   threshold are known exactly from their sizes and from the parts of their sorted sets that would have to meet;
-   no pair is dropped by an estimate. Bucket size is bounded by no cap, and no pairs are emitted for a group that
-   the stars have joined already.
+   bucket, counts the shared elements of the full sets of all its pairs of different components at once, as a product
+   of matrices, and emits only links that join something. No pair is dropped by an estimate, bucket size is bounded by
+   no cap, and nothing is done for a group that the stars have joined already.
 4. A component is named by the smallest id of its classes.
 
 Rows with a null id are never linked and have a null component. Repeated rows share a class; rows of one id with
@@ -39,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import BYTE_LOWER, cut, in_arrow, mix64
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
-#: Classes in a block of a bucket.
-BLOCK = 512
+#: Classes in a block of a bucket; shared elements that are counted at once.
+BLOCK, COLUMNS = 512, 4096
 #: Ids up to which a list of ids is broadcast (about 32 MB in a task); beyond, it is a shuffled join.
 BROADCAST_IDS = 500_000
 _RANDOM = np.random.default_rng(20240101)
@@ -169,53 +167,48 @@ def _find(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def may_reach(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
-    """Whether the parts of two sorted sets meet that must if the sets are similar.
+def shared_counts(sets: list[np.ndarray], some: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``some`` sets with all sets.
 
-    Of n and m elements at least k are shared, so one of the shared ones is among the first n - k + 1 of the one and,
-    being the smallest shared one, among the first m - k + 1 of the other.
+    Elements that several sets hold are columns of a matrix of zeros and ones, of which COLUMNS at a time are multiplied.
     """
-    need = -(-percent * (len(one) + len(two)) // (100 + percent))
-    if need > min(len(one), len(two)):
-        return False
-    a, b = one[: len(one) - need + 1], two[: len(two) - need + 1]
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return bool((b[at] == a).any())
-
-
-def _joins(group: list[tuple], band: int, same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = (np.cumsum(times > 1) - 1)[place]
+    held = times[place] > 1
+    order = np.argsort(column[held], kind="stable")
+    rows, column = rows[held][order], column[held][order]
+    out = np.zeros((some, len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        ones = np.zeros((len(sets), COLUMNS), np.float32)
+        ones[rows[a:b], column[a:b] - start] = 1
+        out += ones[:some] @ ones.T
+    return out.astype(np.int64)
+
+
+def _joins(group: list[tuple], same: bool, percent: int) -> Iterator[tuple[int, int]]:
     """Links between different components in two blocks: rows are (block, id, component, set)."""
-    parent: dict[int, int] = {}
-    count = {}
+    count: dict[int, int] = {}
     for _, _, label, _ in group:
         count[label] = count.get(label, 0) + 1
     if len(count) < 2:
         return
     most = max(count, key=lambda k: (count[k], -k))
     group.sort(key=lambda row: row[2] == most)  # rows of the largest component last: they need no partner among themselves
-    labels = np.array([r[2] for r in group])
-    block = np.array([r[0] for r in group])
-    signs = np.stack([signature(r[3]) for r in group])
-    sizes = np.array([len(r[3]) for r in group])
-    near = []
-    for i in range(len(group) - 1):
-        if labels[i] == most:
-            break
-        rest = np.flatnonzero((labels[i + 1 :] != labels[i]) & (same | (block[i + 1 :] != block[i]))) + i + 1
-        rest = rest[(np.minimum(sizes[rest], sizes[i]) * 100) >= percent * np.maximum(sizes[rest], sizes[i])]
-        if len(rest):
-            equal = signs[rest] == signs[i]
-            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-            near += [(s, i, j) for s, j in zip(equal[first].mean(1).tolist(), rest[first].tolist(), strict=True)]
-    near.sort(reverse=True)
-    for _, i, j in near:
+    some = len(group) - count[most]
+    block, labels, sizes = np.array([r[0] for r in group]), np.array([r[2] for r in group]), np.array([len(r[3]) for r in group])
+    shared = shared_counts([r[3] for r in group], some)
+    near = similar(shared, sizes[:some, None], sizes[None, :], percent) & (labels[:some, None] != labels[None, :])
+    near &= np.arange(len(group))[None, :] > np.arange(some)[:, None]
+    if not same:
+        near &= block[:some, None] != block[None, :]
+    parent: dict[int, int] = {}
+    for i, j in np.argwhere(near).tolist():
         a, b = _find(parent, int(labels[i])), _find(parent, int(labels[j]))
-        if a != b and may_reach(group[i][3], group[j][3], percent):
-            shared = len(np.intersect1d(group[i][3], group[j][3], assume_unique=True))
-            if similar(shared, int(sizes[i]), int(sizes[j]), percent):
-                parent[max(a, b)] = min(a, b)
-                yield int(labels[i]), int(labels[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            yield int(labels[i]), int(labels[j])
 
 
 def joined_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -244,8 +237,8 @@ def joined_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = set()
-        for (bucket, b0, b1), group in itertools.groupby(stream(batches), key=lambda x: x[0][:3]):
-            found.update(_joins([(row[3], row[4], row[5], own) for row, own in group], bucket & BANDS - 1, b0 == b1, percent))
+        for (_, b0, b1), group in itertools.groupby(stream(batches), key=lambda x: x[0][:3]):
+            found.update(_joins([(row[3], row[4], row[5], own) for row, own in group], b0 == b1, percent))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return rows.select("bucket", "b0", "b1", "block", "id", "component", "shingles").transform(in_arrow, run, "a bigint, b bigint")

@@ -241,16 +241,13 @@ def test_repeated_ids_with_different_texts(spark):
     assert found == collections.Counter([(7, 7), (7, 7), (8, 7), (9, 9), (9, 9), (9, 9), (10, 9), (11, 11), (11, 11), (11, 9), (None, None), (12, 12)])
 
 
-def test_sets_that_may_reach_the_threshold():
-    """No pair that is similar is ever left out before its full sets meet."""
+def test_shared_counts_are_those_of_sets(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
     rng = np.random.default_rng(29)
-    for _ in range(3000):
-        pool = rng.choice(200, rng.integers(1, 40), replace=False).astype(np.uint64)
-        one, two = (np.sort(rng.choice(pool, rng.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
-        shared = len(np.intersect1d(one, two))
-        if neardup.similar(shared, len(one), len(two), 80):
-            assert neardup.may_reach(one, two, 80)
-    assert not neardup.may_reach(np.arange(5, dtype=np.uint64), np.arange(9, 14, dtype=np.uint64), 80)
+    for n in (1, 2, 30):
+        sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(n)]
+        got = neardup.shared_counts(sets, (n + 1) // 2)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[: (n + 1) // 2]]
 
 
 def test_components_of_a_long_path(spark):
