@@ -168,7 +168,7 @@ def _find(parent: dict[int, int], x: int) -> int:
 
 
 def shared_counts(sets: list[np.ndarray], some: int) -> np.ndarray:
-    """Sizes of the intersections of the first ``some`` sets with all sets.
+    """Sizes of the intersections of the first ``some`` sets with all other sets (a set with itself isn't counted).
 
     Elements that several sets hold are columns of a matrix of zeros and ones, of which COLUMNS at a time are multiplied.
     """
