@@ -15,13 +15,17 @@ from . import schemas
 from .config import Config
 from .functions import text
 from .ids import edge_id, edge_key, node_id, node_key
+from .lineage import stored
 from .operators import budget, context, history, ingest, lookup, memory, overview, resolve, traverse
 from .operators.parse import parse_files, relations
 from .sources import git
-from .sources.scan import scan
+from .sources.scan import contents, listing, unchanged
 from .sources.snapshot import Snapshots
 
+#: Warnings that come back from a build; all are in the table of runs.
+WARNINGS = 1000
 MEMORY_PATH = ".stratagraph/agent_memory.md"
+# The parts of a session and the nodes they become.
 KINDS = {"decisions": "Decision", "assumptions": "Assumption", "open_questions": "OpenQuestion", "next_steps": "Task"}
 
 
@@ -46,6 +50,14 @@ def _rows(frame: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in frame.collect()]
 
 
+def _most(frame: DataFrame, limit: int) -> tuple[list[dict], int]:
+    """The ordered rows that a budget can hold at most, and how many there are beyond."""
+    some = _rows(frame.limit(budget.room(limit) + 1))
+    if len(some) <= budget.room(limit):
+        return some, 0
+    return some[:-1], frame.count() - len(some) + 1
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, store: str | None = None, auto_index: bool = True):
         self.spark, self.root, self.auto_index = spark, str(Path(root).resolve()), auto_index
@@ -54,8 +66,8 @@ class Engine:
 
     # builds
 
-    def _scan(self) -> DataFrame:
-        return scan(self.spark, self.root, self.config.exclude_patterns, self.config.include_patterns, self.config.max_file_size_bytes)
+    def _listing(self) -> DataFrame:
+        return listing(self.spark, self.root, self.config.exclude_patterns, self.config.include_patterns, self.config.max_file_size_bytes)
 
     def _meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.store.read("meta").collect()}
@@ -65,9 +77,15 @@ class Engine:
         began, meta = time.time(), self._meta()
         if meta.get("root", self.root) != self.root:
             raise ValueError(f"the store belongs to {meta['root']}")
-        found = self._scan().cache()
+        listed = stored(self._listing())
         files = self.store.read("files")
         incremental = incremental and meta.get("extractor") == fingerprint()
+        # files whose size and times are known stay closed
+        same = unchanged(listed, files) if incremental else self.spark.createDataFrame([], "path string, status string")
+        opened = stored(contents(self.spark, self.root, listed.join(same.select("path"), "path", "left_anti")))
+        binaries = opened.filter("binary").drop("content", "binary")
+        held = listed.join(same.filter("status = 'active'").select("path"), "path", "left_semi").withColumns({"content": F.lit(None).cast("string"), "hash": F.lit(None).cast("string")})
+        found = opened.filter("not binary").drop("binary").unionByName(held)
         diff = ingest.classify(found, files, incremental).cache()
         counts = {r["change_kind"]: r["count"] for r in diff.groupBy("change_kind").count().collect()}
         if incremental and not (set(counts) - {"unchanged", "unreadable"}) and not diff.filter("stat_changed").count():
@@ -82,33 +100,40 @@ class Engine:
         nodes = ingest.upsert(ingest.without_paths(self.store.read("nodes"), stale), stamped["nodes"].select(*names["nodes"]))
         edges = ingest.upsert(ingest.without_paths(self.store.read("edges"), stale), stamped["edges"].select(*names["edges"]))
         texts = ingest.without_paths(self.store.read("texts"), diff.filter("change_kind in ('added', 'changed', 'deleted')")).unionByName(new["texts"])
-        registry = ingest.registry_after(files, diff, found, now)
+        registry = ingest.registry_after(files, diff, found, now, binaries, listed)
         owned = ("resolver",)
         edges = edges.filter(~F.coalesce(F.col("extractor").isin(*owned), F.lit(False)))
-        nodes = nodes.cache()
-        made = self._resolved(nodes, registry, edges)
-        edges = edges.unionByName(made.select(*names["edges"]))
+        # stored, so that what follows are short plans over tables of known sizes
+        nodes, edges, registry = stored(nodes), stored(edges), stored(registry)
+        edges = edges.unionByName(stored(self._resolved(nodes, registry, edges)).select(*names["edges"]))
         nodes = nodes.join(ingest.stale_directories(nodes, registry).select("id"), "id", "left_anti").select(*names["nodes"])
-        edges = ingest.connected_edges(edges, nodes).cache()
-        nodes = nodes.join(ingest.orphan_env_vars(nodes, edges).select("id"), "id", "left_anti").select(*names["nodes"])
-        warnings = [r["warning"] for r in new["warnings"].collect()]
+        edges = stored(ingest.connected_edges(edges, nodes))
+        nodes = stored(nodes.join(ingest.orphan_env_vars(nodes, edges).select("id"), "id", "left_anti").select(*names["nodes"]))
+        warnings = new["warnings"].agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
         run = self.store.read("runs").agg(F.coalesce(F.max("id"), F.lit(0)).alias("i")).first()["i"] + 1
         changed = counts.get("added", 0) + counts.get("changed", 0)
-        log = self.spark.createDataFrame([(run, None, None, sum(counts.values()), changed, None, None, warnings)], schemas.RUNS)
+        made_now = [now.select("id").join(self.store.read(n).select("id"), "id", "left_anti").count() for n, now in (("nodes", nodes), ("edges", edges))]
+        head = self.spark.createDataFrame([(run, datetime.fromtimestamp(began, UTC), datetime.now(UTC), sum(counts.values()), changed, *made_now)], schemas.RUNS.rpartition(",")[0])
+        log = head.crossJoin(F.broadcast(warnings))  # one row each
         meta |= {"root": self.root, "extractor": fingerprint()}
         self.store.write({"nodes": nodes, "edges": edges, "texts": texts, "files": registry, "runs": self.store.read("runs").unionByName(log), "meta": self.spark.createDataFrame(sorted(meta.items()), schemas.META)})
-        for frame in (found, diff, parsed):
+        for frame in (diff, parsed):
             frame.unpersist()
         out = self._history_if_moved(self._meta())
-        return {"files_scanned": sum(counts.values()), "files_changed": changed, "files_deleted": counts.get("deleted", 0), "warnings": warnings, "history": out, "seconds": round(time.time() - began, 3)}
+        return {"files_scanned": sum(counts.values()), "files_changed": changed, "files_deleted": counts.get("deleted", 0), "warnings": [r["w"] for r in self.table("runs").filter(F.col("id") == run).select(F.explode("warnings").alias("w")).limit(WARNINGS).collect()], "history": out, "seconds": round(time.time() - began, 3)}
 
     def _resolved(self, nodes: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
         """Edges across files: calls by import and by name, mentions, routes and tables."""
         names = [x.split(" ")[0] for x in schemas.EDGES.split(", ")]
-        module = "struct<pending:array<struct<caller_id:string,name:string,line:int,function_id:string,class_id:string>>,imports:map<string,struct<kind:string,module:string,symbol:string>>,orm_operations:array<struct<source_id:string,model:string,mode:string,line:int,pattern:string>>>"
-        modules = nodes.filter("type = 'Module'").select("path", F.from_json("metadata", module).alias("m"))
+        module = "struct<pending:array<struct<caller_id:string,name:string,line:int,function_id:string,class_id:string>>,imports:map<string,struct<kind:string,module:string,symbol:string,paths:array<string>>>,default_export:string,package:string,package_imports:array<struct<kind:string,spec:string,line:int>>,orm_operations:array<struct<source_id:string,model:string,mode:string,line:int,pattern:string>>>"
+        modules = stored(nodes.filter("type = 'Module'").select("path", "id", "name", "language", F.from_json("metadata", module).alias("m")))
         pending = modules.select("path", F.explode("m.pending").alias("p")).select("path", "p.*")
-        by_name = resolve.name_match_calls(pending.filter("name is not null").select("caller_id", "path", "name", "line"), nodes).drop("id")
+        named = pending.filter("name is not null").select("caller_id", "path", "name", "line")
+        packages, bindings = map(stored, self._imported(modules, nodes, files))
+        by_binding = resolve.binding_calls(named, bindings, nodes)
+        # a name that an import binds is that import's, whether it is known here or not
+        bound = modules.filter("language in ('javascript', 'typescript')").select("path", F.explode(F.map_keys("m.imports")).alias("name")).unionByName(bindings.select("path", F.col("local").alias("name")))
+        by_name = resolve.name_match_calls(named.join(bound.distinct(), ["path", "name"], "left_anti"), nodes).drop("id")
         by_import = resolve.import_calls(pending.filter("function_id is not null").select("caller_id", "path", "line", "function_id", "class_id"), nodes)
         documents = nodes.filter("type = 'MarkdownDocument'").select(F.col("id").alias("doc_id"), F.col("path").alias("doc_path"), F.from_json("metadata", "struct<references:array<struct<kind:string,value:string,line:int>>>").alias("m"))
         from .functions.paths import joined
@@ -119,23 +144,38 @@ class Engine:
         mentioned = resolve.mentions(relative, files, nodes, sections).join(nodes.select(F.col("id").alias("source_node_id"), "path"), "source_node_id")
         mentioned = mentioned.select("source_node_id", "target_node_id", F.lit("MENTIONS").alias("type"), "path", F.col("line").alias("start_line"), "confidence", "is_inferred", F.to_json(F.struct(F.col("value").alias("raw_value"))).alias("metadata"))
         routes = nodes.filter("type = 'Route'").select(F.col("id").alias("route_id"), "path", F.get_json_object("metadata", "$.handler").alias("handler"), "start_line").filter("handler is not null")
-        bindings = modules.select("path", F.explode("m.imports").alias("local", "b")).filter("b.kind = 'symbol'").select("path", "local", F.concat(F.replace("b.module", F.lit("."), F.lit("/")), F.lit(".py")).alias("target_path"), F.col("b.symbol").alias("symbol"))
         handled = resolve.route_handlers(routes.drop("start_line"), nodes, bindings).join(routes.select("route_id", "path", "start_line"), "route_id")
         handled = handled.select(F.col("route_id").alias("source_node_id"), "target_node_id", F.lit("HANDLES_ROUTE").alias("type"), "path", "start_line", F.lit(0.9).alias("confidence"), F.lit(False).alias("is_inferred"))
         operations = modules.select("path", F.explode("m.orm_operations").alias("o")).select("path", "o.*")
         tables = self._table_edges(operations, bindings, nodes)
-        out = by_name.unionByName(by_import).unionByName(handled).withColumn("metadata", F.lit("{}")).unionByName(mentioned).unionByName(tables)
+        out = by_name.unionByName(by_import).unionByName(by_binding).unionByName(packages).unionByName(handled).withColumn("metadata", F.lit("{}")).unionByName(mentioned).unionByName(tables)
+        out = stored(out)
         out = out.unionByName(self._callback_calls(out.unionByName(edges.select(*out.columns)), nodes))
         out = out.withColumn("id", edge_id(F.col("type"), F.col("source_node_id"), F.col("target_node_id"), F.col("path"), F.col("start_line")))
         now = F.current_timestamp()
         fill = {"end_line": F.lit(None).cast("int"), "extractor": F.lit("resolver"), "commit_hash": F.lit(None).cast("string"), "inference_reason": F.when(F.col("type").isin("READS_TABLE", "WRITES_TABLE"), "sqlalchemy-convention").when(F.col("is_inferred"), "unique name"), "created_at": now, "updated_at": now, "last_seen_at": now}
         return out.withColumns(fill).select(*names).dropDuplicates(["id"])
 
+    def _imported(self, modules: DataFrame, nodes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """IMPORTS edges of packages, and path, local, target_path, symbol of names that imports bind to files there are."""
+        go = nodes.filter("path = 'go.mod' and type = 'ConfigFile'").select(F.get_json_object("metadata", "$.go_module").alias("g")).first()
+        asked = modules.select("path", F.explode("m.package_imports").alias("x")).select("path", "x.kind", "x.spec", "x.line")
+        found = resolve.package_targets(asked, modules.select("path", "id", "name", "language", "m.package"), go["g"] if go else None)
+        edges = found.join(modules.select("path", F.col("id").alias("source_node_id")), "path")
+        edges = edges.select("source_node_id", F.col("target_id").alias("target_node_id"), F.lit("IMPORTS").alias("type"), "path", F.col("line").alias("start_line"), F.lit(1.0).alias("confidence"), F.lit(False).alias("is_inferred"))
+        dotted = F.replace("b.module", F.lit("."), F.lit("/"))
+        own = modules.select("path", F.explode("m.imports").alias("local", "b")).filter("b.kind = 'symbol'")
+        own = own.select("path", "local", F.explode(F.coalesce("b.paths", F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py"))))).alias("target_path"), F.col("b.symbol").alias("symbol"))
+        exports = modules.select(F.col("path").alias("target_path"), F.col("m.default_export").alias("default_export"))
+        own = own.join(files.filter("status = 'active'").select(F.col("path").alias("target_path")), "target_path", "left_semi").join(exports, "target_path", "left")
+        own = own.withColumn("symbol", F.when(F.col("symbol") == "default", F.coalesce("default_export", "symbol")).otherwise(F.col("symbol")))
+        classes = found.filter("kind = 'class'").join(modules.select(F.col("path").alias("target_path"), F.col("name").alias("symbol")), "target_path")
+        return edges.distinct(), own.select("path", "local", "target_path", "symbol").unionByName(classes.select("path", F.col("symbol").alias("local"), "target_path", "symbol")).distinct()
+
     def _table_edges(self, operations: DataFrame, bindings: DataFrame, nodes: DataFrame) -> DataFrame:
         """READS_TABLE and WRITES_TABLE of operations whose model is one class, of the file or imported, with one table."""
         classes = nodes.filter("type = 'Class'").groupBy("path", "name").agg(F.count("*").alias("n"), F.min("id").alias("class_id")).filter("n = 1").drop("n")
-        packages = bindings.withColumn("target_path", F.regexp_replace("target_path", r"\.py$", "/__init__.py"))
-        far = bindings.unionByName(packages).join(classes.select(F.col("path").alias("target_path"), F.col("name").alias("symbol"), F.col("class_id").alias("far_id")), ["target_path", "symbol"])
+        far = bindings.join(classes.select(F.col("path").alias("target_path"), F.col("name").alias("symbol"), F.col("class_id").alias("far_id")), ["target_path", "symbol"])
         far = far.groupBy("path", F.col("local").alias("model")).agg(F.countDistinct("far_id").alias("n"), F.min("far_id").alias("far_id")).filter("n = 1").drop("n")
         asked = operations.join(classes.withColumnRenamed("name", "model"), ["path", "model"], "left").join(far, ["path", "model"], "left")
         asked = asked.select("source_id", "path", "mode", "line", F.coalesce("class_id", "far_id").alias("model")).filter("model is not null")
@@ -151,8 +191,47 @@ class Engine:
         taken = resolve.inline_handlers(spans, calls.select("id", "path", "start_line").distinct())
         return calls.join(taken, "id").withColumn("source_node_id", F.col("route_id")).select(*edges.columns)
 
-    def _history_if_moved(self, meta: dict) -> dict:
-        """Mines the history anew where head or settings differ; says in what state it is."""
+    def refresh_history(self) -> dict:
+        """current, extracted, stale (may not be repaired), unavailable (no history) or error."""
+        try:
+            return self._history_if_moved(self._meta(), self.auto_index)
+        except Exception as error:  # an answer degrades, it doesn't crash
+            return {"status": "error", "error": f"{type(error).__name__}: {error}"}
+
+    def history_provenance(self) -> dict:
+        meta = self._meta()
+        return {"extracted_head": meta.get("history_head"), "window": self.config.history_window, "max_files": self.config.history_max_files, "commit_count": self.table("commits").count()}
+
+    def _gated(self, kind: str, build) -> dict:
+        """A report with the state of facts and history; without rows where either may not be served."""
+        try:
+            fresh = self.require_fresh()
+        except StaleError as error:
+            return {"kind": kind, "status": error.result.get("status", "blocked"), "freshness": error.result, "message": f"Facts are out of date: {error}."}
+        state = self.refresh_history()
+        if state["status"] not in ("current", "extracted"):
+            return {"kind": kind, "status": f"history_{state['status']}", "freshness": fresh, "history": state, "message": state.get("message") or state.get("reason") or state.get("error")}
+        items = build()
+        text = "\n".join([f"{kind} ({len(items)})", *("- " + ", ".join(f"{k} {v}" for k, v in x.items()) for x in items)])
+        return {"kind": kind, "status": "ok", "freshness": fresh, "history": state | self.history_provenance(), "items": items, "text": text}
+
+    def co_change_report(self, path: str, limit: int = 20) -> dict:
+        wanted = self.spark.createDataFrame([(path,)], "value string")
+
+        def build() -> list[dict]:
+            found = lookup.resolve_paths(wanted, self.table("files"), self.root).first()
+            return self.co_change(found["path"], limit) if found["path"] else []
+
+        return self._gated("co_change", build) | {"target": path}
+
+    def churn_report(self, limit: int = 20) -> dict:
+        return self._gated("churn", lambda: self.churn(limit))
+
+    def ownership_report(self, path: str | None = None, limit: int = 10) -> dict:
+        return self._gated("ownership", lambda: self.ownership(path, limit)) | {"target": path}
+
+    def _history_if_moved(self, meta: dict, mend: bool = True) -> dict:
+        """Mines the history anew where head or settings differ, if it may; says in what state it is."""
         why = git.status(self.root)
         if why != "ok":
             return {"status": "unavailable", "reason": why}
@@ -160,6 +239,8 @@ class Engine:
         params = json.dumps([self.config.history_window, self.config.history_max_files, history.SHAS_KEPT])
         if (meta.get("history_head"), meta.get("history_params")) == (head, params):
             return {"status": "current", "head": head}
+        if not mend:
+            return {"status": "stale", "head": head, "extracted_head": meta.get("history_head"), "message": "The history is out of date and may not be repaired; build the index."}
         commits, files, head = git.history(self.spark, self.root, self.config.history_window)
         excluded = history.commit_sizes(files, self.config.history_max_files).select("sha", F.col("co_change_excluded").alias("x"))
         commits = commits.join(excluded, "sha", "left").withColumn("co_change_excluded", F.col("x")).drop("x")
@@ -182,7 +263,7 @@ class Engine:
 
     def freshness(self) -> dict:
         changed = self._meta().get("extractor") != fingerprint()
-        return ingest.freshness(self._scan().select("path", "size", "mtime"), self.store.read("files"), changed).first().asDict()
+        return ingest.freshness(self._listing().select("path", "size", "mtime"), self.store.read("files"), changed).first().asDict()
 
     def require_fresh(self) -> dict:
         """Builds if little changed; raises StaleError where facts must not be served."""
@@ -212,8 +293,13 @@ class Engine:
 
     def search(self, query: str, limit: int = 10, types: list[str] | None = None) -> list[dict]:
         texts, nodes = self.table("texts"), self.table("nodes")
-        found = text.search_types(texts, nodes, query, types, limit) if types else text.search(texts, nodes, query, limit)
-        return _rows(found)
+        found = _rows(text.search_types(texts, nodes, query, types, limit) if types else text.search(texts, nodes, query, limit))
+        if not found:
+            return found
+        wanted = self.spark.createDataFrame([(x["path"], x["name"]) for x in found], "path string, name string").distinct()
+        bodies = {(r["path"], r["name"]): r["content"] for r in texts.join(F.broadcast(wanted), ["path", "name"]).groupBy("path", "name").agg(F.min("content").alias("content")).collect()}  # of the answer's rows alone
+        terms = [t for phrase in text.phrases(query) for t in phrase]
+        return [x | {"snippet": text.snippet(bodies.get((x["path"], x["name"])) or "", terms)} for x in found]
 
     def find_symbol(self, name: str, exact: bool = False, limit: int = 20) -> list[dict]:
         return _rows(lookup.find_symbol(self.table("nodes"), name, exact, limit))
@@ -236,7 +322,9 @@ class Engine:
     def trace_symbol(self, symbol: str, depth: int = 1, direction: str = "both", limit: int = 10_000) -> dict:
         nodes, edges = traverse.trace_symbol(*self._graph(), symbol, depth, direction)
         order = ("path", "start_line", "id")
-        return budget.fit({"start": symbol, "nodes": _rows(nodes.orderBy(*order)), "edges": _rows(edges.select("id", "type", "source_node_id", "target_node_id", "path", "start_line", "confidence").orderBy(*order))}, limit)
+        nodes, more_nodes = _most(nodes.orderBy(*order), limit)
+        edges, more_edges = _most(edges.select("id", "type", "source_node_id", "target_node_id", "path", "start_line", "confidence").orderBy(*order), limit)
+        return budget.fit({"start": symbol, "nodes": nodes, "edges": edges}, limit, left={"nodes": more_nodes, "edges": more_edges})
 
     def _targets(self, target: str) -> DataFrame | None:
         """Start nodes of a path, or of exactly one symbol."""
@@ -256,21 +344,30 @@ class Engine:
             if starts is None:
                 return None
         reached = traverse.data_flow(starts.select("id"), edges, depth, direction)
-        return budget.fit({"start": start, "nodes": _rows(nodes.join(reached, "id").select("id", "type", "name", "path", "start_line", "cost").orderBy("cost", "path", "start_line", "id"))}, limit)
-
-    def impact(self, target: str, depth: int = 3, limit: int = 10_000) -> dict | None:
+        found, more = _most(nodes.join(reached, "id").select("id", "type", "name", "path", "start_line", "cost").orderBy("cost", "path", "start_line", "id"), limit)
+        # edges of runtime types and structure between reached nodes, with the cost of the end they start from
+        ends = stored(reached)
+        inner = edges.filter(F.col("type").isin(*schemas.FLOW_EDGES)).join(ends.select(F.col("id").alias("source_node_id"), "cost"), "source_node_id").join(ends.select(F.col("id").alias("target_node_id")), "target_node_id", "left_semi")
+        links, more_links = _most(inner.select("id", "type", "source_node_id", "target_node_id", "path", "start_line", "confidence", "cost").orderBy("cost", "path", "start_line", "id"), limit)
+        return budget.fit({"start": start, "nodes": found, "edges": links}, limit, left={"nodes": more, "edges": more_links})
+
+    def impact(self, target: str, depth: int = 3, limit: int = 10_000, change_type: str = "modify") -> dict | None:
+        """What depends on a target. change_type: modify, rename or delete, of which the latter two concern documents that name it too."""
+        if change_type not in ("modify", "rename", "delete"):
+            raise ValueError("change_type must be 'modify', 'rename' or 'delete'")
         starts = self._targets(target)
         if starts is None:
             return None
         nodes, edges = self._graph()
         found = traverse.impact(starts.select(F.lit(target).alias("root"), "id"), edges, depth).join(nodes.select("id", "type", "name", "path", "start_line"), "id")
-        items = _rows(found.drop("root").orderBy(F.desc("confidence"), "path", "start_line", "id"))
+        items, more = _most(found.drop("root").orderBy(F.desc("confidence"), "path", "start_line", "id"), limit)
         paths = starts.filter("path <> ''").select("path").distinct()
         out = {f"{b}_confidence": [x for x in items if x["bucket"] == b] for b in ("high", "medium", "low")}
         out["recommended_tests"] = [x for x in items if x["type"] in ("TestFile", "TestCase") or "/test" in x["path"]]
         out["docs_likely_needing_updates"] = [x for x in items if x["type"] in ("MarkdownDocument", "MarkdownSection", "ADR")]
         out["historical_evidence"] = _rows(history.historical_co_change(self._pairs(), paths))
-        return budget.fit({"target": target} | out, limit)
+        out["unknowns"] = ["Documents that name the target in words alone aren't linked and need a search."] if change_type != "modify" else []
+        return budget.fit({"target": target, "change_type": change_type} | out, limit, left={"low_confidence": more})
 
     def _pairs(self) -> DataFrame:
         return history.co_change_pairs(self.table("commit_files"), self.table("files"), self.config.history_max_files)
@@ -319,12 +416,22 @@ class Engine:
         historical = context.historical_path_docs(references, old_paths, sections).select("doc_path", "line", node_id(F.lit("File"), F.col("path"), F.col("path"), F.col("path")).alias("target"), F.col("path").alias("old_path"))
         docs = docs.join(historical, ["doc_path", "line", "target"], "left_anti").withColumn("old_path", F.lit(None).cast("string")).unionByName(historical)
         external = history.historical_co_change(self._pairs(), changed.select("path"), only_external=True)
-        out = {"changes": _rows(changed.orderBy("path")), "nodes": _rows(touched.orderBy("path", "start_line", "id")), "docs_likely_needing_updates": _rows(docs.orderBy("doc_path", "line", "target")), "historical_evidence": _rows(external)}
-        items = _rows(impacts.orderBy(F.desc("confidence"), "path", "id"))
+        spans = ranges.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("side", "start", "end"))).alias("line_ranges"))
+        shown = changed.join(spans, "path", "left").join(nodes.unionByName(lost, allowMissingColumns=True).filter("type = 'File'").groupBy("path").agg(F.min("id").alias("file_node")), "path", "left")
+        records = _rows(shown.orderBy("path"))
+        own: dict[str, list[dict]] = {}
+        for x in _rows(touched.orderBy("path", "start_line", "id")):
+            own.setdefault(x["path"], []).append(x)
+        for x in records:
+            x |= {"line_ranges": x["line_ranges"] or [], "symbols": own.get(x["path"], [])}
+            x["mapping_status"] = "mapped" if x["file_node"] or x["symbols"] else "unmapped"
+        out = {"changes": records, "docs_likely_needing_updates": _rows(docs.orderBy("doc_path", "line", "target")), "historical_evidence": _rows(external)}
+        items, more = _most(impacts.orderBy(F.desc("confidence"), "path", "id"), limit)
+        out["recommended_tests"] = [x for x in items if x["type"] in ("TestFile", "TestCase") or "/test" in x["path"] or x["path"].startswith("test")]
         # once the snapshot has let a deleted file go, it has no edges onto it
         out["unknowns"] = [f"Impacts of the deleted {p} are known only as far as the snapshot still holds edges onto it." for p in sorted(deleted)]
-        out |= {f"{b}_confidence": [x for x in items if x["bucket"] == b] for b in ("high", "medium", "low")}
-        return budget.fit(out, limit)
+        out |= {f"{b}_confidence": [x for x in items if x["bucket"] == b] for b in ("high", "medium", "low")} | {"impacts_not_shown": more}
+        return budget.ladder(out, limit)
 
     # memory
 

@@ -105,3 +105,10 @@ class IgnoreRules:
             if rule.search(path):
                 out = not negated
         return out
+
+    def prunes(self, folder: str) -> bool:
+        """Whether nothing below the folder (with a slash at its end) can be taken: no rule may take it back."""
+        below = folder + "x"
+        if any(r.search(below) for r, _ in self.mandatory if r.search(folder)):
+            return True
+        return not any(negated for _, negated in self.rules) and any(r.search(folder) for r, _ in self.rules)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,44 @@ def bm25(texts: DataFrame, query: str, key: str = "doc_key") -> DataFrame:
     return ranked(rows, stats, len(wanted), key)
 
 
+ROW = ("doc_key", "path", "name")
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """Full-text rows with the key of what they stand for: a node, or themselves."""
+    return texts.withColumn("doc_key", F.coalesce("node_id", F.concat_ws("\0", "path", "name")))
+
+
+def indexed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings: term and the row, col, pos; lengths: the row and its tokens dl) of full-text rows, for stored_bm25().
+
+    Postings belong into a table that is sorted by term, from which a search reads its terms alone.
+    """
+    rows = keyed(texts).withColumn("row_key", F.struct(*ROW))
+    return postings(rows, "row_key").select("term", "row_key.*", "col", "pos"), phrase_facts(rows, [], "row_key").select("row_key.*", "dl")
+
+
+def stored_bm25(found: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
+    """bm25() of the rows (ROW, score) from their index; texts aren't read.
+
+    Each posting of a phrase's word says where the phrase would begin; it occurs where all its words say the same. That
+    is one filter on the terms and sums with map-side parts, whatever the number of words; nothing is joined for it.
+    """
+    wanted = phrases(query)
+    if not wanted:
+        return lengths.select(*ROW, F.lit(0.0).alias("score")).limit(0)
+    terms = sorted({t for p in wanted for t in p})
+    places = F.create_map(*[x for t in terms for x in (F.lit(t), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(len(p)).alias("n")) for i, p in enumerate(wanted) for k, w in enumerate(p) if w == t]))])
+    hits = found.filter(F.col("term").isin(*terms)).withColumn("x", F.explode(places[F.col("term")]))
+    hits = hits.groupBy(*ROW, "col", "x.i", "x.n", (F.col("pos") - F.col("x.k")).alias("start")).agg(F.count("*").alias("m")).filter("m = n")
+    rows = hits.groupBy(*ROW).agg(*[F.count_if(F.col("i") == i).alias(f"f{i}") for i in range(len(wanted))])
+    rows = stored(rows)
+    counts = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(F.broadcast(counts))  # one row each
+    both = reduce(lambda x, i: x.filter(F.col(f"f{i}") > 0), range(len(wanted)), rows).join(lengths, list(ROW)).withColumn("row_key", F.struct(*ROW))
+    return ranked(both, stats, len(wanted), "row_key").select("row_key.*", "score")
+
+
 def ranked(rows: DataFrame, stats: DataFrame, count: int, key: str) -> DataFrame:
     """key, score of the rows (key, dl, f0 ...) with all phrases, by one row of n, avgdl, n0 ..."""
     hits = rows
@@ -105,21 +144,20 @@ def ranked(rows: DataFrame, stats: DataFrame, count: int, key: str) -> DataFrame
     return hits.select(key, score.alias("score"))
 
 
-def search(texts: DataFrame, nodes: DataFrame, query: str, limit: int = 10, node_type: str | None = None) -> DataFrame:
+def search(texts: DataFrame, nodes: DataFrame, query: str, limit: int = 10, node_type: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """path, name, type, score, reasons: full-text hits and name matches, boosted, the best first.
 
     Full-text rows that belong to a node count for it (the best row); others stand for themselves. The type
-    filter comes before the candidate cap of max(5 * limit, 50); a name match adds once, a path match adds once.
+    filter comes before the candidate cap of max(5 * limit, 50); a name match adds once, a path match adds once. With an
+    index (indexed()) texts aren't read.
     """
     q = query.strip()
     low = q.lower()
-    keyed = texts.withColumn("doc_key", F.coalesce("node_id", F.concat_ws("\0", "path", "name")))
     facts = nodes.select("id", "type", F.col("name").alias("node_name"), F.col("path").alias("node_path"))
     if node_type is not None:
         facts = facts.filter(F.col("type") == node_type)
     # rows keep their own key while they are ranked
-    rows = keyed.withColumn("row_key", F.struct("doc_key", "path", "name"))
-    scored = bm25(rows, q, "row_key").select("row_key.*", "score")
+    scored = stored_bm25(*index, q) if index else bm25(keyed(texts).withColumn("row_key", F.struct(*ROW)), q, "row_key").select("row_key.*", "score")
     typed = scored.join(facts.select(F.col("id").alias("doc_key"), "type"), "doc_key", "left" if node_type is None else "inner")
     cap = max(5 * limit, 50)
     hits = typed.orderBy(F.desc("score"), "doc_key", "path", "name").limit(cap)
@@ -136,11 +174,9 @@ def search(texts: DataFrame, nodes: DataFrame, query: str, limit: int = 10, node
     return out.orderBy(F.desc("total"), "doc_key").limit(limit).select("path", "name", "type", F.round("total", 6).alias("score"), "reasons")
 
 
-def search_types(texts: DataFrame, nodes: DataFrame, query: str, types: list[str], limit: int = 10) -> DataFrame:
+def search_types(texts: DataFrame, nodes: DataFrame, query: str, types: list[str], limit: int = 10, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The search for each type, put together, the best of all."""
-    from functools import reduce
-
-    parts = [search(texts, nodes, query, limit, t) for t in types]
+    parts = [search(texts, nodes, query, limit, t, index) for t in types]
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "path", "name", "type").limit(limit)
 
 

@@ -7,8 +7,15 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The order in which answers shorten their lists, and the steps by which a change context is shortened.
 TRIM_ORDER = ("docs_likely_needing_updates", "recommended_tests", "low_confidence", "medium_confidence", "high_confidence", "edges", "nodes")
+LADDER = (
+    "historical_evidence", "docs_likely_needing_updates", "low_confidence", "medium_confidence", "changes.symbols", "changes.file_node",
+    "changes.line_ranges", "high_confidence", "recommended_tests", "changes",
+)
 MINIMUM = 64
+#: Characters that a row of an answer has at least as JSON.
+ROW_CHARS = 60
 
 
 def tokens(value: object) -> int:
@@ -23,9 +30,11 @@ def _lists(result: dict, order: tuple[str, ...]):
                 break
 
 
-def fit(result: dict, budget: int, order: tuple[str, ...] = TRIM_ORDER) -> dict:
+def fit(result: dict, budget: int, order: tuple[str, ...] = TRIM_ORDER, left: dict[str, int] | None = None) -> dict:
     """Drops from the tails of lists, the least wanted list first, until the JSON fits; says what was dropped.
 
+    left: rows by list that were cut before.
+
     A list's excess is found by bisection on its kept length, as a longer list never has shorter JSON.
     """
     dropped: dict[str, int] = {}
@@ -45,6 +54,60 @@ def fit(result: dict, budget: int, order: tuple[str, ...] = TRIM_ORDER) -> dict:
         items[:] = whole[:low]
         if len(whole) > low:
             dropped[label] = len(whole) - low
+    for label, n in (left or {}).items():
+        if n:
+            dropped[label] = dropped.get(label, 0) + n
+    result["truncation"]["applied"] = bool(dropped)
+    result["token_estimate"] = tokens(result)
+    result["truncation"]["within_budget"] = result["token_estimate"] <= budget
+    return result
+
+
+def room(budget: int) -> int:
+    """Rows of an answer that can fit into a budget at most; more needn't leave the executors."""
+    return 4 * budget // ROW_CHARS + 1
+
+
+def rungs(rows: DataFrame, partition: list[str], order: list, step: str, size: str, budget: int) -> DataFrame:
+    """Rows that a ladder keeps: those of the last steps first, within a step from the front, while their sizes fit.
+
+    step: 0 for what goes first. The row form of ladder(), for answers whose lists are too long to collect.
+    """
+    total = F.sum(size).over(Window.partitionBy(*partition).orderBy(F.desc(step), *order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("used", total).filter(F.col("used") <= 4 * budget)
+
+
+def ladder(result: dict, budget: int, steps: tuple[str, ...] = LADDER) -> dict:
+    """fit() in steps: a name is a list that loses its tail; ``changes.x`` takes x from the records of changes, the last first.
+
+    A record stays when its details go, so that what changed is the last to be lost.
+    """
+    dropped: dict[str, int] = {}
+    result |= {"budget": budget, "token_heuristic": "ceil(characters / 4)", "truncation": {"applied": False, "budget": budget, "within_budget": True, "dropped": dropped}}
+    for label in steps:
+        if len(json.dumps(result)) <= 4 * budget:
+            break
+        parent, _, field = label.partition(".")
+        items = next((x for _, x in _lists(result, (parent,))), [])
+        whole = [x.get(field) for x in items] if field else list(items)
+        places = [i for i, x in enumerate(whole) if x] if field else range(len(whole))
+
+        def keep(n: int, items=items, whole=whole, places=places, field=field, label=label) -> bool:
+            if field:
+                for k, i in enumerate(places):
+                    items[i][field] = whole[i] if k < n else [] if isinstance(whole[i], list) else None
+            else:
+                items[:] = whole[:n]
+            dropped.pop(label, None)
+            if n < len(places):
+                dropped[label] = len(places) - n
+            return len(json.dumps(result)) <= 4 * budget
+
+        low, high = 0, len(places)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if keep(middle) else (low, middle - 1)
+        keep(low)
     result["truncation"]["applied"] = bool(dropped)
     result["token_estimate"] = tokens(result)
     result["truncation"]["within_budget"] = result["token_estimate"] <= budget

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .traverse import degrees
 
+# Folders that don't stand for a tree.
 UNREPRESENTATIVE = ("examples", "example", "fixtures", "fixture", "samples", "sample")
 DOCUMENTATION = ("docs", "doc")
 

@@ -3,7 +3,8 @@
 No syntax tree: definitions are found line by line after comments and strings are blanked out (same length, so
 that lines and columns stay); their ends by matching braces (or `end` in Ruby). Calls are names before a
 parenthesis within a definition. They resolve to a function of the file, then to a class of the file (a constructor), and
-else wait for a unique name over all files, as for Python. What patterns can't see (computed names, nested generics,
+else wait for what the file's imports bind, or for a unique name over all files, as for Python. Imports of Go and Java name
+packages and are resolved over all files. What patterns can't see (computed names, nested generics,
 here-documents) is missed, not guessed.
 """
 
@@ -53,11 +54,19 @@ LANGUAGES: dict[str, Language] = {
     ".php": Language("php", (r"\bfunction\s+&?(?P<name>\w+)\s*\(",), (r"\b(?:class|interface|trait)\s+(?P<name>\w+)",), (r"^\$(?P<name>\w+)\s*=[^=>]", r"^\s*const\s+(?P<name>\w+)\s*="), (r"\b(?:require|include)(?:_once)?\s*\(?\s*(?:__DIR__\s*\.\s*)?(?P<q>['\"])/?(?P<spec>[^'\"]+)(?P=q)",), (r"\bgetenv\(\s*['\"](?P<name>\w+)['\"]",), r"\bnew\s+(?P<name>\w+)", r"(?://|#(?!\[))[^\n]*"),
     ".sh": (_SH := Language("bash", (r"^\s*(?:function\s+)?(?P<name>[\w-]+)\s*\(\)\s*\{?", r"^\s*function\s+(?P<name>[\w-]+)\s*\{?"), variables=(r"^(?:export\s+)?(?P<name>[A-Za-z_]\w*)=",), line_comment=r"(?m)(?:^|(?<=\s))#[^\n]*", block_comment=None)), ".bash": _SH,
     ".go": Language("go", (r"^func\s+(?:\((?P<owner>[^)]*)\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\(",), (r"^type\s+(?P<name>\w+)\s+(?:struct|interface)\b",), (r"^(?:var|const)\s+(?P<name>\w+)\b",), (r"^\s*(?:import\s+)?(?:\w+\s+)?(?P<q>\")(?P<spec>[\w./-]+)(?P=q)\s*$",), strings=r"\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])'"),
-    ".java": Language("java", (r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*(?:<[^>\n]+>\s*)?[\w<>\[\],.? ]+\s(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w., ]+)?\s*\{",), (r"\b(?:class|interface|enum|record)\s+(?P<name>\w+)",), (), (r"^\s*import\s+(?:static\s+)?(?P<spec>[\w.]+)\s*;",), (r"\bSystem\.getenv\(\s*\"(?P<name>\w+)\"",), r"\bnew\s+(?P<name>\w+)"),
+    ".java": Language("java", (r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*(?:<[^>\n]+>\s*)?[\w<>\[\],.? ]+\s(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w., ]+)?\s*\{",), (r"\b(?:class|interface|enum|record)\s+(?P<name>\w+)",), (), (r"^\s*import\s+(?P<static>static\s+)?(?P<spec>[\w.]+(?:\.\*)?)\s*;",), (r"\bSystem\.getenv\(\s*\"(?P<name>\w+)\"",), r"\bnew\s+(?P<name>\w+)"),
     ".rb": Language("ruby", (r"^\s*def\s+(?:self\.)?(?P<name>\w+[?!]?)",), (r"^\s*(?:class|module)\s+(?P<name>[A-Z]\w*)",), (r"^\s*(?P<name>[A-Z]\w*)\s*=[^=]",), (r"\brequire_relative\s+(?P<q>['\"])(?P<spec>[^'\"]+)(?P=q)",), (r"\bENV\[\s*['\"](?P<name>\w+)['\"]", r"\bENV\.fetch\(\s*['\"](?P<name>\w+)['\"]"), r"\b(?P<name>[A-Z]\w*)\.new\b", r"#[^\n]*", None, ends="end", endings=("", ".rb")),
 }
-_KEYWORDS = set("if for while switch catch return function new typeof await async super sizeof print echo isset empty array list func defer select range make len cap append do elsif unless until puts require include define import class else try throw foreach match and or not in of case delete void yield synchronized getenv".split())
-_RESERVED = set("if for while switch catch return function new typeof await do else try throw foreach case unless until elsif".split())
+_KEYWORDS = {
+    "if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "async", "super", "sizeof", "print", "echo", "isset",
+    "empty", "array", "list", "func", "defer", "select", "range", "make", "len", "cap", "append", "do", "elsif", "unless", "until", "puts", "require",
+    "include", "define", "import", "class", "else", "try", "throw", "foreach", "match", "and", "or", "not", "in", "of", "case", "delete", "void",
+    "yield", "synchronized", "getenv",
+}
+_RESERVED = {
+    "if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "do", "else", "try", "throw", "foreach", "case",
+    "unless", "until", "elsif",
+}
 _TEST_NAME = re.compile(r"^test_|_test\.\w+$|\.(test|spec)\.\w+$|^Test\w*\.java$|\w+Test\.(java|php)$|_spec\.rb$")
 _TEST_CASE = re.compile(r"(?m)^\s*(?:it|test)\(\s*(['\"`])(.+?)\1")
 
@@ -103,6 +112,39 @@ def _end(language: Language, bare: str, at: int) -> int:
     return len(bare)
 
 
+_FROM = re.compile(rf"\bimport\s+(?:type\s+)?(?:(?P<one>{_WORD})\s*,?\s*)?(?:\{{(?P<some>[^}}]*)\}}|\*\s+as\s+(?P<all>{_WORD}))?\s*from\s*(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q)")
+_REQUIRE = re.compile(rf"\b(?:const|let|var)\s+(?:(?P<all>{_WORD})|\{{(?P<some>[^}}]*)\}})\s*=\s*require\(\s*(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q)\s*\)")
+_NAMED = re.compile(rf"^(?:type\s+)?(?P<symbol>{_WORD})(?:\s*(?:\bas\b|:)\s*(?P<local>{_WORD}))?$")
+
+
+def _bindings(path: str, plain: str) -> dict[str, dict]:
+    """What import and require bind in the file: by local name the symbol, and the files it may come from (none for packages)."""
+    out: dict[str, dict] = {}
+    for found in [*_FROM.finditer(plain), *_REQUIRE.finditer(plain)]:
+        spec, paths = found["spec"], []
+        if spec.startswith("."):
+            base = posixpath.normpath(posixpath.join(posixpath.dirname(path), spec))
+            paths = [base + ending for ending in _JS.endings if ending or posixpath.splitext(base)[1]]
+        if local := found["all"]:
+            out[local] = {"kind": "module", "module": spec, "symbol": "*", "paths": paths}
+        if local := found.groupdict().get("one"):
+            out[local] = {"kind": "symbol", "module": spec, "symbol": "default", "paths": paths}
+        for part in (found["some"] or "").split(","):
+            if named := _NAMED.match(part.strip()):
+                out[named["local"] or named["symbol"]] = {"kind": "symbol", "module": spec, "symbol": named["symbol"], "paths": paths}
+    return out
+
+
+def _default_export(bare: str) -> str | None:
+    found = re.search(rf"\bexport\s+default\s+(?:async\s+)?(?:function\s*\*?\s*|class\s+)?(?P<name>{_WORD})", bare)
+    return found["name"] if found and found["name"] not in ("function", "class", "async") else None
+
+
+def _package(bare: str) -> str:
+    found = re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", bare)
+    return found[1] if found else ""
+
+
 def parse(path: str, content: str) -> Parsed:
     language = LANGUAGES[posixpath.splitext(path)[1].lower()]
     out = Parsed(path, language.name)
@@ -201,10 +243,14 @@ def parse(path: str, content: str) -> Parsed:
         for m in re.finditer(pattern, plain):
             out.edge("READS_ENV", scope(m.start())[0], out.env(m["name"], line_of(m.start())), line_of(m.start()))
     external: list[str] = []
+    packages: list[dict] = []  # resolved over all files, by package
     for pattern in language.imports:
         for m in re.finditer(pattern, plain, re.M):
             spec, number = m["spec"], line_of(m.start("spec"))
-            if language.name in ("go", "java") or language.name in ("javascript", "typescript") and not spec.startswith("."):
+            if language.name in ("go", "java"):
+                packages.append({"kind": "go" if language.name == "go" else "static" if m["static"] else "wildcard" if spec.endswith(".*") else "class", "spec": spec, "line": number})
+                continue
+            if language.name in ("javascript", "typescript") and not spec.startswith("."):
                 external.append(spec)
                 continue
             target = posixpath.normpath(posixpath.join(posixpath.dirname(path), spec))
@@ -218,7 +264,7 @@ def parse(path: str, content: str) -> Parsed:
             used[m[2]] = used.get(m[2], 0) + 1
             title = m[2] if used[m[2]] == 1 else f"{m[2]}@{used[m[2]]}"
             out.edge("DEFINES", module_id, out.node("TestCase", m[2][:120], f"{module}.{title}", line_of(m.start()), None, language.name), line_of(m.start()))
-    out.node("Module", posixpath.basename(module), module, 1 if lines else None, len(lines) or None, language.name, {"pending": pending, "imports": {}, "external_imports": sorted(set(external)), "is_test_file": test})
+    out.node("Module", posixpath.basename(module), module, 1 if lines else None, len(lines) or None, language.name, {"pending": pending, "imports": _bindings(path, plain) if language.name in ("javascript", "typescript") else {}, "default_export": _default_export(bare) if language.name in ("javascript", "typescript") else None, "package": _package(bare) if language.name == "java" else None, "package_imports": packages, "external_imports": sorted(set(external)), "is_test_file": test})
     if test:
         out.node("TestFile", posixpath.basename(path), path, 1, len(lines) or None, language.name)
     return out

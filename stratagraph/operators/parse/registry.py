@@ -24,6 +24,7 @@ PARSERS: list[tuple[str, Callable[[str], bool], Callable[[str, str], Parsed]]] =
     ("dotenv", lambda p: bool(_DOTENV.search(p)), config.parse_dotenv),
     ("json", lambda p: p.lower().endswith(".json"), config.parse_json),
     ("toml", lambda p: p.lower().endswith(".toml"), config.parse_toml),
+    ("go.mod", lambda p: posixpath.basename(p) == "go.mod", config.parse_go_mod),
     ("yaml", lambda p: p.lower().endswith((".yaml", ".yml")), config.parse_yaml),
     ("dockerfile", lambda p: bool(_DOCKER.search(p)), config.parse_dockerfile),
     ("python", lambda p: p.lower().endswith(".py"), python_code.parse),

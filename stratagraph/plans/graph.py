@@ -35,7 +35,8 @@ _EVIDENCE = (*_ENDS_ONLY, "path", "start_line", "confidence")
 
 def _stored(spark, sf_dir, columns):
     """Edges that traversals read at each level: joined and hashed once, with the columns that are read."""
-    return stored(bridge.edges(spark, sf_dir).select(*columns), "type")
+    rows = bridge.edges(spark, sf_dir).select(*columns)
+    return rows if bridge.built(spark, sf_dir, "edges") is not None else stored(rows, "type")
 
 
 @query("SELECT id, type, name, path FROM nodes")

@@ -54,6 +54,8 @@ def fts_postings(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir, wanted):
+    if index := bridge.token_index(spark, sf_dir):
+        return text.stored_bm25(*index, wanted).select("path", "name", F.round("score", 6).alias("score"))
     rows = bridge.texts(spark, sf_dir).withColumn("doc_key", F.struct("path", "name"))
     return text.bm25(rows, wanted).select("doc_key.path", "doc_key.name", F.round("score", 6).alias("score"))
 
@@ -88,15 +90,22 @@ rs{name} AS (SELECT k, path, name, type, coalesce(s,0)+coalesce(b,0)+CASE WHEN c
 
 @query(_bm25([["doc"], ["1"]]) + _search("doc 1", [], None, 10) + " SELECT path, name, type, round(total,6)::DOUBLE AS score, reasons FROM rs")
 def search_hybrid_boosts(spark, sf_dir):
-    return text.search(bridge.texts(spark, sf_dir), bridge.nodes(spark, sf_dir), "doc 1", 10)
+    return text.search(bridge.texts(spark, sf_dir), bridge.nodes(spark, sf_dir), "doc 1", 10, index=bridge.token_index(spark, sf_dir))
 
 
 @query(_bm25([["src1"]]) + _search("src1", [], "MarkdownDocument", 10, "a") + _search("src1", [], "Module", 10, "b") + """ SELECT path, name, type, round(total,6)::DOUBLE AS score, reasons FROM (SELECT * FROM rsa UNION ALL SELECT * FROM rsb) ORDER BY round(total,6) DESC, path, name, type LIMIT 10""")
 def search_by_types(spark, sf_dir):
-    return text.search_types(bridge.texts(spark, sf_dir), bridge.nodes(spark, sf_dir), "src1", ["MarkdownDocument", "Module"], 10)
+    return text.search_types(bridge.texts(spark, sf_dir), bridge.nodes(spark, sf_dir), "src1", ["MarkdownDocument", "Module"], 10, bridge.token_index(spark, sf_dir))
 
 
 @query(r""", b AS (SELECT path, list_filter(list_transform(regexp_split_to_array(content,'\n\s*\n'), lambda x: trim(regexp_replace(x,'\s+',' ','g'))), lambda x: regexp_matches(x,'[.!?]') AND NOT regexp_matches(x,'^([-*+]\s|\d+[.)]\s|#|```)')) AS ps FROM texts)
 SELECT path, ps[1] AS paragraph FROM b WHERE len(ps)>0 ORDER BY length(path), path LIMIT 3""")
 def purpose_paragraph(spark, sf_dir):
     return overview.purpose(bridge.texts(spark, sf_dir), 3)
+
+
+@query(_bm25([["general", "public", "license"], ["the"]]) + " SELECT path, name, round(score,6) AS score FROM sc")
+def bm25_from_postings(spark, sf_dir):
+    """The same ranking from an index of tokens."""
+    index = bridge.token_index(spark, sf_dir) or text.indexed(bridge.texts(spark, sf_dir))
+    return text.stored_bm25(*index, "general_public-license the").select("path", "name", F.round("score", 6).alias("score"))

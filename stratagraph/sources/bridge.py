@@ -13,12 +13,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..ids import edge_id, node_id
 
 NODE_COLUMNS = ("id", "type", "name", "qualified_name", "path", "start_line", "end_line", "language", "metadata")
 EDGE_COLUMNS = ("id", "source_node_id", "target_node_id", "type", "path", "start_line", "metadata", "confidence", "is_inferred")
 
 
+#: Folders of built graphs by the tables' folder: relations are read from there, as an engine reads its snapshot.
+_BUILT: dict[str, str] = {}
+
+
+def build(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes nodes, edges, texts and the index of tokens once; queries over these tables then read them."""
+    _BUILT.pop(sf_dir, None)
+    nodes(spark, sf_dir).hint("rebalance", "type").write.partitionBy("type").parquet(f"{folder}/nodes")
+    edges(spark, sf_dir).hint("rebalance", "type").write.partitionBy("type").parquet(f"{folder}/edges")
+    rows = texts(spark, sf_dir)
+    rows.write.parquet(f"{folder}/texts")
+    found, lengths = text.indexed(rows)
+    found.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    lengths.write.parquet(f"{folder}/lengths")
+    _BUILT[sf_dir] = folder
+
+
+def built(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    return spark.read.parquet(f"{_BUILT[sf_dir]}/{name}") if sf_dir in _BUILT else None
+
+
+def token_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame] | None:
+    return (built(spark, sf_dir, "postings"), built(spark, sf_dir, "lengths")) if sf_dir in _BUILT else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,7 +100,9 @@ def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A type filter prunes the branches of the union that have other types."""
+    """A type filter prunes the branches of the union that have other types, or the folders of a built graph."""
+    if (held := built(spark, sf_dir, "nodes")) is not None:
+        return held.select(*NODE_COLUMNS)
 
     def branch(rows: DataFrame, kind: str, name: Column, qname: Column, path: Column, start: Column | None = None, end: Column | None = None, language: Column | None = None, metadata: Column | None = None) -> DataFrame:
         null = F.lit(None)
@@ -105,6 +133,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if (held := built(spark, sf_dir, "edges")) is not None:
+        return held.select(*EDGE_COLUMNS)
+
     def branch(rows: DataFrame, kind: str, source: Column, target: Column, path: Column, line: Column, confidence: Column, inferred: Column | None = None, metadata: Column | None = None) -> DataFrame:
         rows = rows.select(source.alias("source_node_id"), target.alias("target_node_id"), F.lit(kind).alias("type"), path.alias("path"), line.cast("int").alias("start_line"), (F.lit("{}") if metadata is None else metadata).alias("metadata"), confidence.cast("double").alias("confidence"), (F.lit(False) if inferred is None else inferred).alias("is_inferred"))
         return rows.withColumn("id", edge_id(F.col("type"), F.col("source_node_id"), F.col("target_node_id"), F.col("path"), F.col("start_line")))
@@ -157,6 +188,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text rows: documents by file, benchmark items and conversation turns."""
+    if (held := built(spark, sf_dir, "texts")) is not None:
+        return held
     d = table(spark, sf_dir, "documents").join(doc_files(spark, sf_dir), "doc_id").select(F.col("d_path").alias("path"), F.col("d_name").alias("name"), F.coalesce("text", F.lit("")).alias("content"), F.col("d_id").alias("node_id"))
     b = table(spark, sf_dir, "benchmark").select(_text("benchmark/", F.col("item_id")).alias("path"), _text("item ", F.col("item_id")).alias("name"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("string").alias("node_id"))
     c = table(spark, sf_dir, "conversations").select(_text("chat/", F.col("conv_id"), "/", F.col("turn")).alias("path"), F.col("role").alias("name"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("string").alias("node_id"))

@@ -1,16 +1,25 @@
 """Versioned snapshots of all relations in Parquet.
 
-A build writes every table of a new version into a folder of its own and flips one small pointer file at the
-end; readers pin the version that the pointer names, so that no table is read half written. Versions made by a
-newer schema are refused. Works on any store that Hadoop's file systems reach.
+A build writes every table of a new version into a folder of its own and then one small pointer file that is named by
+the version; readers pin the highest version that has a whole pointer, so that no table is read half written and a
+build that ends at any point leaves the version before. Pointers are never replaced. Stores of older schemas are
+brought up to date by MIGRATIONS, one step a schema, when they are read; versions made by a newer schema are refused.
+Works on any store that Hadoop's file systems reach.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 
+#: By the schema that a version has: what brings a table to the next one. Columns that are only new are null without a step.
+MIGRATIONS: dict[int, dict[str, Callable[[DataFrame], DataFrame]]] = {}
+
 
 class Snapshots:
     def __init__(self, spark: SparkSession, folder: str):
@@ -18,33 +27,30 @@ class Snapshots:
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.system = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
-        place = self.path(f"{self.folder}/{name}")
-        if not self.system.exists(place):
-            return None
+    def _text(self, place) -> str:
         stream = self.system.open(place)
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def _write(self, name: str, text: str) -> None:
-        """The old file stands until the new one is whole."""
-        fresh, place = self.path(f"{self.folder}/_{name}.new"), self.path(f"{self.folder}/{name}")
-        stream = self.system.create(fresh, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self.system.exists(place):
-            self.system.delete(place, False)
-        self.system.rename(fresh, place)
+    def _pointers(self) -> dict[int, int]:
+        """Schema by version, of pointers that are whole."""
+        folder, out = self.path(self.folder), {}
+        for status in self.system.listStatus(folder) if self.system.exists(folder) else []:
+            if found := re.fullmatch(r"CURRENT-(\d+)", status.getPath().getName()):
+                said = re.fullmatch(rf"{found[1]} (\d+) end", self._text(status.getPath()))
+                if said:
+                    out[int(found[1])] = int(said[1])
+        return out
 
     def current(self) -> int | None:
-        said = self._read("CURRENT")
-        if said is None:
+        found = self._pointers()
+        if not found:
             return None
-        version, schema = map(int, said.split())
-        if schema > schemas.SCHEMA_VERSION:
-            raise ValueError(f"the snapshot has schema {schema}; this build reads up to {schemas.SCHEMA_VERSION}")
+        version = max(found)
+        if found[version] > schemas.SCHEMA_VERSION:
+            raise ValueError(f"the snapshot has schema {found[version]}; this build reads up to {schemas.SCHEMA_VERSION}")
         return version
 
     def write(self, tables: dict[str, DataFrame]) -> int:
@@ -56,11 +62,23 @@ class Snapshots:
             if rows is None:
                 rows = self.spark.createDataFrame([], schema) if now is None else self.read(name, now)
             rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}/{name}")
-        self._write("CURRENT", f"{version} {schemas.SCHEMA_VERSION}")
+        stream = self.system.create(self.path(f"{self.folder}/CURRENT-{version}"), False)
+        stream.write(bytearray(f"{version} {schemas.SCHEMA_VERSION} end".encode()))
+        stream.close()
         return version
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         version = self.current() if version is None else version
         if version is None:
             return self.spark.createDataFrame([], schemas.TABLES[name])
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.folder}/v={version}/{name}")
+        folder = re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{self.folder}/v={version}/{name}")  # the reader takes paths as patterns
+        made = self._pointers().get(version, schemas.SCHEMA_VERSION)
+        if made == schemas.SCHEMA_VERSION:
+            return self.spark.read.schema(schemas.TABLES[name]).parquet(folder)
+        if not self.system.exists(self.path(f"{self.folder}/v={version}/{name}")):  # a table that came later
+            return self.spark.createDataFrame([], schemas.TABLES[name])
+        rows = self.spark.read.parquet(folder)
+        for step in range(made, schemas.SCHEMA_VERSION):
+            rows = MIGRATIONS.get(step, {}).get(name, lambda x: x)(rows)
+        want = self.spark.createDataFrame([], schemas.TABLES[name]).schema
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])

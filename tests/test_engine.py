@@ -121,7 +121,7 @@ def test_changes_stale_gate_and_memory(engine, tree):
 def test_snapshots_refuse_newer_schemas(spark, tmp_path):
     store = Snapshots(spark, str(tmp_path / "s"))
     assert store.current() is None and store.write({}) == 1 and store.write({}) == 2 and store.current() == 2
-    store._write("CURRENT", "3 99")
+    (tmp_path / "s" / "CURRENT-3").write_text("3 99 end")
     with pytest.raises(ValueError):
         store.current()
 

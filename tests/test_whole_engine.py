@@ -74,7 +74,7 @@ def test_changes_know_deleted_and_renamed_files(engine, tree):
     git(tree, "mv", "lib/before.py", "lib/after.py")
     engine.index()
     found = engine.change_context()
-    assert ("lib/gone.py", "lost") in {(x["path"], x["name"]) for x in found["nodes"]}
+    assert ("lib/gone.py", "lost") in {(x["path"], x["name"]) for c in found["changes"] for x in c["symbols"]}
     old = {(x["doc_path"], x["line"], x["old_path"]) for x in found["docs_likely_needing_updates"]}
     assert {("docs/guide.md", 5, "lib/gone.py"), ("docs/guide.md", 5, "lib/before.py")} <= old
     assert len(found["unknowns"]) == 1 and ends(engine, "MAY_IMPACT")
