@@ -11,7 +11,8 @@ Text is cut into segments where no piece can cross: before a blank after another
 has a blank inside), and at line feeds if no piece holds one. Segments are kept in a bounded memo.
 
 Null and empty texts have only the end id and decode to an empty text. Repeated rows are encoded each
-for itself; long texts go whole through the same path.
+for itself; very long texts go whole through the same path, segment by segment. There are no ties: of equal scores the
+leftmost pair merges first. Columns but the key and the text, whatever their names, aren't read. Empty tables give no rows.
 """
 
 from __future__ import annotations

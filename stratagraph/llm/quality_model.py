@@ -9,7 +9,9 @@ in BINS bins, and pooling adjacent violators over the bins gives the calibration
 
 Training rows are rows with a label that isn't null; a row with several different labels counts once for
 each; repeated labels count once. Null and empty texts have statistics 0 and get a score like others. Without
-any label every score is 0.5. Rows with a null id are scored, held_out false.
+any label every score is 0.5. Rows with a null id are scored, held_out false. Repeated rows get equal scores (and, if
+labelled, count as often as they are there). Very long texts are measured whole. Equal raw scores have equal calibrated
+ones. Columns but key, text and label, whatever their names, aren't read. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ weighted sum. It is kept if the posterior is at least one half and it doesn't fa
 Words are runs of characters other than ASCII white space. n_repeat_words counts words in windows of
 WINDOW words that are found twice or more in the text, the first included; windows are compared by 64-bit
 hashes within one text. Null texts have no words and fail; so do texts of fewer than 20 words. Repeated
-rows get equal verdicts. On an empty table there are no patterns and no rows.
+rows get equal verdicts and count as so many votes. A posterior of just one half keeps the document. Very long texts are
+counted whole; their windows' hashes are sorted within the row. Columns of the names in OWN are replaced, those that begin
+with __rule_ must not be there, others are kept. On an empty table there are no patterns and no rows.
 """
 
 from __future__ import annotations
