@@ -99,7 +99,9 @@ class Engine:
         names = {n: [x.split(" ")[0] for x in schemas.TABLES[n].split(", ")] for n in ("nodes", "edges")}
         nodes = ingest.upsert(ingest.without_paths(self.store.read("nodes"), stale), stamped["nodes"].select(*names["nodes"]))
         edges = ingest.upsert(ingest.without_paths(self.store.read("edges"), stale), stamped["edges"].select(*names["edges"]))
-        texts = ingest.without_paths(self.store.read("texts"), diff.filter("change_kind in ('added', 'changed', 'deleted')")).unionByName(new["texts"])
+        redone = diff.filter("change_kind in ('added', 'changed', 'deleted')")
+        texts = ingest.without_paths(self.store.read("texts"), redone).unionByName(new["texts"])
+        tokens = self._token_tables(new["texts"], redone)
         registry = ingest.registry_after(files, diff, found, now, binaries, listed)
         owned = ("resolver",)
         edges = edges.filter(~F.coalesce(F.col("extractor").isin(*owned), F.lit(False)))
@@ -116,12 +118,25 @@ class Engine:
         head = self.spark.createDataFrame([(run, datetime.fromtimestamp(began, UTC), datetime.now(UTC), sum(counts.values()), changed, *made_now)], schemas.RUNS.rpartition(",")[0])
         log = head.crossJoin(F.broadcast(warnings))  # one row each
         meta |= {"root": self.root, "extractor": fingerprint()}
-        self.store.write({"nodes": nodes, "edges": edges, "texts": texts, "files": registry, "runs": self.store.read("runs").unionByName(log), "meta": self.spark.createDataFrame(sorted(meta.items()), schemas.META)})
+        self.store.write({"nodes": nodes, "edges": edges, "texts": texts, **tokens, "files": registry, "runs": self.store.read("runs").unionByName(log), "meta": self.spark.createDataFrame(sorted(meta.items()), schemas.META)})
         for frame in (diff, parsed):
             frame.unpersist()
         out = self._history_if_moved(self._meta())
         return {"files_scanned": sum(counts.values()), "files_changed": changed, "files_deleted": counts.get("deleted", 0), "warnings": [r["w"] for r in self.table("runs").filter(F.col("id") == run).select(F.explode("warnings").alias("w")).limit(WARNINGS).collect()], "history": out, "seconds": round(time.time() - began, 3)}
 
+    def _token_tables(self, texts: DataFrame, redone: DataFrame | None = None) -> dict[str, DataFrame]:
+        """postings and lengths with those of further texts, without those of paths that are done anew."""
+        fresh = dict(zip(("postings", "lengths"), text.indexed(texts), strict=True))
+        if redone is not None and self.store.current() is not None and not self._indexed():  # a store from before there was an index
+            held = ingest.without_paths(self.store.read("texts"), redone)
+            old = dict(zip(fresh, text.indexed(held), strict=True))
+        else:
+            old = {n: self.store.read(n) if redone is None else ingest.without_paths(self.store.read(n), redone) for n in fresh}
+        return {n: old[n].unionByName(fresh[n].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in old[n].schema])) for n in fresh}
+
+    def _indexed(self) -> bool:
+        return not self.store.read("lengths").isEmpty() or self.store.read("texts").isEmpty()
+
     def _resolved(self, nodes: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
         """Edges across files: calls by import and by name, mentions, routes and tables."""
         names = [x.split(" ")[0] for x in schemas.EDGES.split(", ")]
@@ -293,7 +308,8 @@ class Engine:
 
     def search(self, query: str, limit: int = 10, types: list[str] | None = None) -> list[dict]:
         texts, nodes = self.table("texts"), self.table("nodes")
-        found = _rows(text.search_types(texts, nodes, query, types, limit) if types else text.search(texts, nodes, query, limit))
+        index = (self.table("postings"), self.table("lengths")) if self._indexed() else None
+        found = _rows(text.search_types(texts, nodes, query, types, limit, index) if types else text.search(texts, nodes, query, limit, index=index))
         if not found:
             return found
         wanted = self.spark.createDataFrame([(x["path"], x["name"]) for x in found], "path string, name string").distinct()
@@ -478,9 +494,10 @@ class Engine:
         fill = {"path": F.lit(MEMORY_PATH), "confidence": F.lit(1.0), "extractor": F.lit("agent_memory"), "created_at": now, "updated_at": now, "last_seen_at": now}
         fresh_nodes = self.spark.createDataFrame(made, "id string, type string, name string, qualified_name string, metadata string").withColumns(fill)
         fresh_edges = self.spark.createDataFrame(links, "id string, source_node_id string, target_node_id string, type string, metadata string").withColumns(fill | {"is_inferred": F.lit(False)})
+        said = self.spark.createDataFrame(texts, schemas.TEXTS)
         all_nodes = nodes.unionByName(fresh_nodes, allowMissingColumns=True)
         fresh_edges = fresh_edges.join(all_nodes.select(F.col("id").alias("target_node_id")), "target_node_id", "left_semi")
-        return {"nodes": all_nodes, "edges": self.table("edges").unionByName(fresh_edges, allowMissingColumns=True), "texts": self.table("texts").unionByName(self.spark.createDataFrame(texts, schemas.TEXTS))}
+        return {"nodes": all_nodes, "edges": self.table("edges").unionByName(fresh_edges, allowMissingColumns=True), "texts": self.table("texts").unionByName(said), **(self._token_tables(said) if self._indexed() else {})}
 
     def _verified(self, entries: DataFrame) -> DataFrame:
         anchors = entries.select("entry_id", F.explode("anchors").alias("a")).select("entry_id", "a.expected.*")

@@ -27,8 +27,9 @@ def co_change_pairs(commit_files: DataFrame, files: DataFrame, max_files: int =
     The pair join is on the commit, whose rows are bounded; the shuffle by pair has partial sums.
     """
     base = commit_files.select("sha", "path").distinct()
-    # the same partitioning by commit serves the count and both sides of the pair join
-    sized = base.withColumn("k", F.count("*").over(Window.partitionBy("sha"))).filter(F.col("k") <= max_files)
+    # sizes by partial sums: a commit of any number of files is counted without meeting in one task, and then is gone
+    sizes = base.groupBy("sha").agg(F.count("*").alias("k")).filter(F.col("k") <= max_files)
+    sized = base.join(sizes, "sha")
     per_path = sized.groupBy("path").agg(F.count("*").alias("n"))
     many = sized.filter("k >= 2")
     pairs = many.alias("a").join(many.alias("b"), (F.col("a.sha") == F.col("b.sha")) & (F.col("a.path") < F.col("b.path")))

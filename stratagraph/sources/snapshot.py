@@ -19,6 +19,8 @@ from .. import schemas
 
 #: By the schema that a version has: what brings a table to the next one. Columns that are only new are null without a step.
 MIGRATIONS: dict[int, dict[str, Callable[[DataFrame], DataFrame]]] = {}
+#: How tables lie in their folders: by type, so that traversals and look-ups read theirs alone, or sorted by term.
+BY_TYPE, BY_TERM = ("nodes", "edges"), ("postings",)
 
 
 class Snapshots:
@@ -61,7 +63,13 @@ class Snapshots:
             rows = tables.get(name)
             if rows is None:
                 rows = self.spark.createDataFrame([], schema) if now is None else self.read(name, now)
-            rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}/{name}")
+            place = f"{self.folder}/v={version}/{name}"
+            if name in BY_TYPE:
+                rows.hint("rebalance", "type").write.mode("overwrite").partitionBy("type").parquet(place)
+            elif name in BY_TERM:
+                rows.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(place)
+            else:
+                rows.write.mode("overwrite").parquet(place)
         stream = self.system.create(self.path(f"{self.folder}/CURRENT-{version}"), False)
         stream.write(bytearray(f"{version} {schemas.SCHEMA_VERSION} end".encode()))
         stream.close()
@@ -74,7 +82,7 @@ class Snapshots:
         folder = re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{self.folder}/v={version}/{name}")  # the reader takes paths as patterns
         made = self._pointers().get(version, schemas.SCHEMA_VERSION)
         if made == schemas.SCHEMA_VERSION:
-            return self.spark.read.schema(schemas.TABLES[name]).parquet(folder)
+            return self.spark.read.schema(schemas.TABLES[name]).parquet(folder).select(*[x.split(" ")[0] for x in schemas.TABLES[name].split(", ")] if name in BY_TYPE else "*")
         if not self.system.exists(self.path(f"{self.folder}/v={version}/{name}")):  # a table that came later
             return self.spark.createDataFrame([], schemas.TABLES[name])
         rows = self.spark.read.parquet(folder)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..functions import text
 from ..operators import ingest
 from ..operators.parse import parse_files, relations
 from ..sources.snapshot import Snapshots
@@ -22,7 +23,8 @@ def merge_batch(store: Snapshots, files: DataFrame) -> int:
     """Parses files(path, content) and writes a snapshot in which they replace what their paths had; its version."""
     files = files.dropDuplicates(["path"]).cache()
     now, null = F.current_timestamp(), F.lit(None).cast("string")
-    found = relations(parse_files(files).cache())
+    parsed = parse_files(files).cache()
+    found = relations(parsed)
     stamp = {"hash": null, "commit_hash": null, "created_at": now, "updated_at": now, "last_seen_at": now, "inference_reason": null}
     out = {}
     for name in ("nodes", "edges"):
@@ -30,7 +32,11 @@ def merge_batch(store: Snapshots, files: DataFrame) -> int:
         rows = found[name].withColumns({k: v for k, v in stamp.items() if k in columns}).select(*columns)
         out[name] = ingest.upsert(ingest.without_paths(store.read(name), files), rows)
     out["texts"] = ingest.without_paths(store.read("texts"), files).unionByName(found["texts"])
+    for name, rows in zip(("postings", "lengths"), text.indexed(found["texts"]), strict=True):
+        held = ingest.without_paths(store.read(name), files)
+        out[name] = held.unionByName(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in held.schema]))
     version = store.write(out)
+    parsed.unpersist()
     files.unpersist()
     return version
 

@@ -52,7 +52,7 @@ def engine(spark, tree, tmp_path_factory):
 
 def test_first_build(engine):
     assert engine.first["files_changed"] == 6 and engine.first["warnings"] == [] and engine.first["history"]["status"] == "extracted"
-    paths = {r["path"] for r in engine.table("files").collect()}
+    paths = {r["path"] for r in engine.table("files").filter("status = 'active'").collect()}
     assert paths == {"README.md", "src/service.py", "src/prices.py", "src/tools.py", "tests/test_service.py", "conf/app.yaml"}
     assert not engine.table("texts").filter(F.col("path") == "conf/app.yaml").count()
 
