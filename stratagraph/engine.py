@@ -88,7 +88,8 @@ class Engine:
         found = opened.filter("not binary").drop("binary").unionByName(held)
         diff = ingest.classify(found, files, incremental).cache()
         counts = {r["change_kind"]: r["count"] for r in diff.groupBy("change_kind").count().collect()}
-        if incremental and not (set(counts) - {"unchanged", "unreadable"}) and not diff.filter("stat_changed").count():
+        lost = files.filter("status = 'binary'").join(listed.select("path"), "path", "left_anti")
+        if incremental and not (set(counts) - {"unchanged", "unreadable"}) and diff.filter("stat_changed").isEmpty() and binaries.isEmpty() and lost.isEmpty():
             out = self._history_if_moved(meta)
             return {"files_scanned": sum(counts.values()), "files_changed": 0, "files_deleted": 0, "history": out, "warnings": []}
         stale = diff.filter(F.col("change_kind").isin("changed", "deleted"))
