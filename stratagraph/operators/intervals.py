@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import stored
+
+#: Lines are whole numbers of 32 bits, as in the schema; a section without an end goes on to the last.
+LAST_LINE, SIZES = 2**31 - 1, 33
+
 #: Lines of a bucket in the bucketed overlap join.
 BUCKET = 128
 
@@ -53,12 +58,26 @@ def changed_symbols(ranges: DataFrame, changed: DataFrame, symbols: DataFrame) -
 def innermost(points: DataFrame, sections: DataFrame, key: str, line: str, fallback: Column) -> DataFrame:
     """Adds section: of the sections (key, section_id, start_line, end_line) that hold the line, the one that starts last.
 
-    Points must have unique rows. The fallback stands where none holds it or the line is null.
+    The fallback stands where none holds it or the line is null. Sections are parted into aligned pieces of 2**k lines, of
+    which each keeps its best section; a line asks one piece of each size. So joins are by equality, with a row a line and
+    size at most, and not of all sections with all lines of a key. What lines get is stored: points are joined with that.
     """
-    rows = points.withColumn("_row", F.struct(*points.columns))
-    inner = rows.join(sections.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col(line) >= F.col("start_line")) & ((F.col(line) <= F.col("end_line")) | F.col("end_line").isNull()), "left")
-    best = inner.groupBy("_row").agg(F.max(F.struct("start_line", "section_id"))["section_id"].alias("section"))
-    return best.select("_row.*", "section").withColumn("section", F.coalesce("section", fallback))
+    def piece(level: str, place: str, ok: str) -> str:
+        return f"if({ok}, named_struct('k', {level}, 'i', {place}), null)"
+
+    # of the lines [a, b) the pieces of 2**k lines are those from a's to b's multiple; an odd one at either end is no half of a larger piece
+    low, high = "-shiftright(-_a, k)", "shiftright(_b, k)"
+    both = f"array({piece('k', low, f'{low} < {high} and {low} & 1 = 1')}, {piece('k', f'{high} - 1', f'{low} < {high} and {high} & 1 = 1')})"
+    spans = sections.filter("start_line is not null and (end_line is null or end_line >= start_line)")
+    spans = spans.groupBy(key, F.col("start_line").cast("bigint").alias("_a"), (F.coalesce(F.col("end_line").cast("bigint"), F.lit(LAST_LINE)) + 1).alias("_b")).agg(F.max("section_id").alias("section_id"))
+    pieces = spans.withColumn("_p", F.explode(F.expr(f"filter(flatten(transform(sequence(0, {SIZES - 1}), k -> {both})), p -> p is not null)")))
+    pieces = pieces.groupBy(key, F.col("_p.k").alias("_k"), F.col("_p.i").alias("_i")).agg(F.max(F.struct(F.col("_a"), "section_id")).alias("_s"))
+    lines = points.select(key, F.col(line).cast("bigint").alias("_line")).distinct()
+    asked = lines.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SIZES - 1)))).withColumn("_i", F.expr("shiftright(_line, _k)"))
+    best = asked.join(pieces, [key, "_k", "_i"]).groupBy(key, "_line").agg(F.max("_s")["section_id"].alias("section"))
+    best = stored(best.select(F.col(key).alias("_key"), "_line", "section"))
+    placed = points.join(best, (F.col(key) == F.col("_key")) & (F.col(line) == F.col("_line")), "left").drop("_key", "_line")
+    return placed.withColumn("section", F.coalesce("section", fallback))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str]) -> DataFrame:
