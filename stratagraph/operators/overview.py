@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ids import edge_fact, identity, node_fact
 from .traverse import degrees
 
 # Folders that don't stand for a tree.
@@ -75,11 +76,10 @@ def purpose(texts: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def fact_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """fact: stable texts of nodes and edges."""
-    name = F.coalesce(F.nullif("qualified_name", F.lit("")), "name")
-    own = nodes.select("id", F.concat(F.col("type"), F.lit(":"), name, F.lit("@"), F.coalesce("path", F.lit(""))).alias("identity"))
+    """fact: stable texts of nodes and edges. All are shuffled for their distinct; bridge.facts() makes those of the tables from keys."""
+    own = nodes.select("id", identity(*[F.col(x) for x in ("type", "name", "qualified_name", "path")]).alias("identity"))
     of_edges = edges.join(own.select(F.col("id").alias("source_node_id"), F.col("identity").alias("s")), "source_node_id").join(own.select(F.col("id").alias("target_node_id"), F.col("identity").alias("t")), "target_node_id")
-    return own.select(F.concat(F.lit("node|"), "identity").alias("fact")).unionByName(of_edges.select(F.concat_ws("|", F.lit("edge"), "type", "s", "t", "path").alias("fact"))).distinct()
+    return own.select(node_fact(F.col("identity")).alias("fact")).unionByName(of_edges.select(edge_fact(F.col("type"), F.col("s"), F.col("t"), F.col("path")).alias("fact"))).distinct()
 
 
 def accuracy(actual: DataFrame, expected: DataFrame, forbidden: DataFrame, key: str = "fact") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.operators import ingest, intervals, resolve, traverse
-from stratagraph.plans import graph
+from stratagraph.plans import build, graph, registry
 from stratagraph.schemas import IMPACT_EDGES
 from stratagraph.sources import bridge
 
@@ -72,3 +72,41 @@ def test_impact_stores_only_its_types(spark, monkeypatch):
     monkeypatch.setattr(graph, "stored", lambda rows, *by: kept.append(own(rows, *by)) or kept[0])
     graph.impact_buckets(spark, SF)
     assert {r["type"] for r in kept[0].select("type").distinct().collect()} <= set(IMPACT_EDGES)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_facts_of_edges_are_made_above_shuffles(spark):
+    plan = build.fact_keys(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "sha1(" not in plan
+    assert not [x for x in plan.splitlines() if "Aggregate [fact" in x and "edge" in x]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("marked", [False, True])
+def test_facts_of_odd_tables(spark, tmp_path, marked):
+    """Rows that are there twice, keys with two names, names with two keys, missing names and keys; names with the marks that part facts."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    odd = {
+        "region": ["SELECT * FROM t WHERE r_regionkey=1", "SELECT * REPLACE (NULL AS r_name) FROM t WHERE r_regionkey=2"],
+        "nation": ["SELECT * FROM t WHERE n_nationkey<3", "SELECT * REPLACE ('twice' AS n_name) FROM t WHERE n_nationkey<3", "SELECT * REPLACE (n_nationkey+100 AS n_nationkey) FROM t", "SELECT * REPLACE (NULL AS n_name) FROM t WHERE n_nationkey=4"],
+        "customer": ["SELECT * FROM t WHERE c_custkey%3=0", "SELECT * REPLACE (c_nationkey+100 AS c_nationkey) FROM t WHERE c_custkey%4=0", "SELECT * REPLACE (NULL AS c_name) FROM t WHERE c_custkey%5=0"],
+        "orders": ["SELECT * FROM t WHERE o_orderkey%3=0", "SELECT * REPLACE (o_custkey+1 AS o_custkey) FROM t WHERE o_orderkey%4=0", "SELECT * REPLACE (NULL AS o_orderkey) FROM t WHERE o_orderkey<9"],
+        "part": ["SELECT * FROM t WHERE p_partkey%3=0", "SELECT * REPLACE (NULL AS p_brand) FROM t WHERE p_partkey%4=0", "SELECT * REPLACE ('BRAND_1' AS p_brand) FROM t WHERE p_partkey%5=0", "SELECT * REPLACE (NULL AS p_partkey) FROM t WHERE p_partkey<9"],
+        "supplier": ["SELECT * FROM t", "SELECT * REPLACE (s_suppkey+1 AS s_suppkey) FROM t", "SELECT * REPLACE (NULL AS s_name) FROM t WHERE s_suppkey<3", "SELECT * REPLACE ('' AS s_name) FROM t WHERE s_suppkey<5"],
+        "lineitem": ["SELECT * FROM t WHERE l_orderkey%2=0", "SELECT * REPLACE (NULL AS l_partkey) FROM t WHERE l_orderkey<9", "SELECT * REPLACE (NULL AS l_suppkey) FROM t WHERE l_orderkey<9"],
+        "documents": ["SELECT * FROM t WHERE doc_id%3=0", "SELECT * REPLACE (NULL AS source) FROM t WHERE doc_id<9", "SELECT * REPLACE (-doc_id AS doc_id) FROM t WHERE doc_id<9"],
+        "events": ["SELECT * REPLACE (NULL AS event_type) FROM t WHERE event_id<9", "SELECT * REPLACE (NULL AS props) FROM t WHERE event_id<9"],
+    }
+    if marked:
+        odd["region"] += ["SELECT * REPLACE ('a/b' AS r_name) FROM t WHERE r_regionkey=0", "SELECT * REPLACE ('a' AS r_name) FROM t WHERE r_regionkey=0"]
+        odd["nation"] += ["SELECT * REPLACE ('c' AS n_name) FROM t WHERE n_regionkey=0", "SELECT * REPLACE ('b/c' AS n_name) FROM t WHERE n_regionkey=0"]
+        odd["part"] += ["SELECT * REPLACE ('x|y@z' AS p_brand) FROM t WHERE p_partkey%6=0"]
+        odd["supplier"] += ["SELECT * REPLACE ('@|lib/' AS s_name) FROM t WHERE s_suppkey<5"]
+    for name, more in odd.items():
+        con.execute(f"CREATE OR REPLACE VIEW t AS SELECT * FROM '{SF}/{name}.parquet'")
+        con.execute(f"COPY ({' UNION ALL '.join(['SELECT * FROM t', *more])}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = [r[0] for r in con.execute(registry.ORACLES["fact_keys"]).fetchall()]
+    got = [r["fact"] for r in build.fact_keys(spark, str(tmp_path)).collect()]
+    assert not set(got) ^ set(want) and len(got) == len(want)
